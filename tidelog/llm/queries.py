@@ -21,12 +21,30 @@ def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(table(spark, sf_dir, "documents"))
 
 
+def op3_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .embed_near import op3_projection_passes as op
+
+    return op(table(spark, sf_dir, "embeddings"))
+
+
+def op5_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import op5_water_filling as op
+
+    return op(table(spark, sf_dir, "documents"))
+
+
 def op6_vector_best_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .packing import op6_vector_best_fit as op
 
     return op(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import op7_simhash as op
+
+    return op(table(spark, sf_dir, "documents"))
+
+
 def op8_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bitplane import op8_bit_planes as op
 
@@ -40,7 +58,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_transport_stream, op6_vector_best_fit, op8_bit_planes, op10_compression_quality)}
+    return {f.__name__: f for f in (op1_transport_stream, op3_projection_passes, op5_water_filling, op6_vector_best_fit, op7_simhash, op8_bit_planes, op10_compression_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
