@@ -27,6 +27,12 @@ def op3_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(table(spark, sf_dir, "embeddings"))
 
 
+def op4_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import op4_weak_supervision as op
+
+    return op(table(spark, sf_dir, "documents"))
+
+
 def op5_water_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .mixing import op5_water_filling as op
 
@@ -58,7 +64,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_transport_stream, op3_projection_passes, op5_water_filling, op6_vector_best_fit, op7_simhash, op8_bit_planes, op10_compression_quality)}
+    return {f.__name__: f for f in (op1_transport_stream, op3_projection_passes, op4_weak_supervision, op5_water_filling, op6_vector_best_fit, op7_simhash, op8_bit_planes, op10_compression_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
