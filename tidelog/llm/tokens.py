@@ -9,13 +9,18 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from collections.abc import Callable
 
 import numpy as np
 
 #: Characters for which the shortcuts are proven: ASCII without odd controls, Latin letters with one form.
 _PLAIN = re.compile(r"[\t\n\r !-~¡-¬®-ÖØ-öø-ħĴ-ňŊ-ſ]*")
-_BLANK_CHUNKS = re.compile(r" ?[^ \t\n\r]+|[ \t\n\r]+(?![^ \t\n\r])|[ \t\n\r]+")
+_L, _N, _S = "A-Za-zªµºÀ-ÖØ-öø-ſ", "0-9²³¹¼-¾", r" \t\n\r"  # letters, numbers and white space among them
+_MARKS = "'(?:s|t|re|ve|m|ll|d)"
+#: The pre-tokenizers' patterns over these characters; a contraction can't start where a letter or number does.
+_BLANK = re.compile(rf" ?[{_L}]+| ?[{_N}]+|{_MARKS}| ?[^{_S}{_L}{_N}]+|[{_S}]+(?![^{_S}])|[{_S}]+")
+_WORDS = re.compile(rf"[{_L}]+|{_MARKS}|[{_N}]|[^{_S}{_L}{_N}]+")
 
 
 def _byte_chars() -> list[str]:
@@ -49,27 +54,21 @@ class Memo(dict):
 class Encoder:
     """encode(texts) gives each text's ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str, memo: int = 250_000) -> None:
-        import regex
+    def __init__(self, path: str, memo: int = 600_000) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        before = json.dumps(spec["pre_tokenizer"])
-        self.lower = spec["normalizer"] is not None
-        if spec["model"]["type"] == "BPE" and spec["normalizer"] is None and spec["pre_tokenizer"].get("type") == "ByteLevel" and spec["pre_tokenizer"].get("use_regex", True) and not spec["pre_tokenizer"]["add_prefix_space"]:
-            self.kind = "blank"  # a blank belongs to the word after it
-            self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+").findall
-        elif spec["model"]["type"] == "BPE" and "Removed" in before and self.lower and [x["type"] for x in spec["normalizer"].get("normalizers", [])] == ["NFC", "Replace", "Lowercase"]:
-            self.kind = "words"  # white space is dropped
-            self.cut = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-        else:
-            self.kind = ""
+        before, rules = spec["pre_tokenizer"] or {}, (spec["normalizer"] or {}).get("normalizers", [])
+        self.cut = None
+        if spec["model"]["type"] == "BPE" and spec["normalizer"] is None and before.get("type") == "ByteLevel" and before.get("use_regex", True) and not before["add_prefix_space"]:
+            self.cut, self.lower = _BLANK.findall, False  # a blank belongs to the word after it
+        elif spec["model"]["type"] == "BPE" and "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in str(before.get("pretokenizers", [{}])[0].get("pattern")).replace("\\\\", "\\") and [x["type"] for x in rules] == ["NFC", "Replace", "Lowercase"]:
+            self.cut, self.lower = _WORDS.findall, True  # white space is dropped
         self.model, self.table = self.tokenizer.model, _byte_chars()
         self.words = Memo(self._word, memo)
-        self.chunks = Memo(self._chunk, memo // 2)
 
     def _word(self, word: str) -> bytes:
         """The ids of one piece that the pre-tokenizer gives."""
@@ -79,25 +78,16 @@ class Encoder:
             raw = self.table[32] + word[1:]
         else:
             raw = "".join(map(self.table.__getitem__, word.encode()))
-        return np.array([t.id for t in self.model.tokenize(raw)], "<u4").tobytes()
-
-    def _chunk(self, chunk: str) -> bytes:
-        if self.lower:
-            chunk = chunk.lower()
-        core = chunk[1:] if chunk[0] == " " else chunk
-        if core.isalpha():
-            return self.words[chunk]
-        if core[:-1].isalpha() and core[-1] in ".,":
-            return self.words[chunk[:-1]] + self.words[core[-1]]
-        return b"".join(map(self.words.__getitem__, self.cut(chunk)))
+        ids = [t.id for t in self.model.tokenize(raw)]
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self.kind or not _PLAIN.fullmatch(text):
+        if not self.cut or not _PLAIN.fullmatch(text):
             return self._whole(text)
-        return b"".join(map(self.chunks.__getitem__, text.split() if self.kind == "words" else _BLANK_CHUNKS.findall(text)))
+        return b"".join(map(self.words.__getitem__, self.cut(text.lower() if self.lower else text)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
