@@ -21,6 +21,12 @@ def op1_transport_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(table(spark, sf_dir, "documents"))
 
 
+def op2_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import op2_kneser_ney as op
+
+    return op(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_projection_passes(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .embed_near import op3_projection_passes as op
 
@@ -64,7 +70,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_transport_stream, op3_projection_passes, op4_weak_supervision, op5_water_filling, op6_vector_best_fit, op7_simhash, op8_bit_planes, op10_compression_quality)}
+    return {f.__name__: f for f in (op1_transport_stream, op2_kneser_ney, op3_projection_passes, op4_weak_supervision, op5_water_filling, op6_vector_best_fit, op7_simhash, op8_bit_planes, op10_compression_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
