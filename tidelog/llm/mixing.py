@@ -84,7 +84,9 @@ def mix_rows(docs: DataFrame, **shares) -> DataFrame:
     """``docs`` with each row as often as the mix repeats it (whole documents); columns as before.
 
     A row is found again by doc_id and size; rows without a doc_id are matched as one id."""
-    n = mix(docs, **shares).where("repeats > 0").groupBy("h").agg(F.max("repeats").alias("_repeats"))
-    keyed = docs.withColumn("_h", F.md5(F.concat_ws("\x1f", F.lit(shares.get("seed", SEED)), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), words().cast("string"))))
-    rows = keyed.join(n, keyed["_h"] == n["h"])
-    return rows.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(*docs.columns)
+    names, seed = docs.columns, shares.get("seed", SEED)
+    inner = [c if c in ("doc_id", "text", "source") else f"_in_{k}" for k, c in enumerate(names)]  # clear of the columns that are made here
+    rows = docs.toDF(*inner)
+    n = mix(rows, **shares).where("repeats > 0").groupBy("h").agg(F.max("repeats").alias("repeats"))
+    keyed = rows.withColumn("h", F.md5(F.concat_ws("\x1f", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), words().cast("string"))))
+    return keyed.join(n, "h").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*inner).toDF(*names)

@@ -177,10 +177,11 @@ def mask(docs: DataFrame) -> DataFrame:
     """``docs`` with every personal span of ``text`` replaced by its kind in brackets; null texts stay null."""
     model = fit(written(candidates(docs, ["doc_id"]), "spans"))
     names = docs.columns
-    kept = candidates(docs.withColumn("_null", F.col("text").isNull()), [*names, "_null"])
+    inner = ["text" if c == "text" else f"_in_{k}" for k, c in enumerate(names)]  # clear of the columns that are made here
+    kept = candidates(docs.toDF(*inner).withColumn("_null", F.col("text").isNull()), [*inner, "_null"])
     rows = decided(kept, model)
     order = "array_sort(transform(spans, x -> struct(x.s as s, x.e as e, x.kind as kind)))"
     step = "case when x.s >= a.at then struct(x.e as at, concat(a.o, substring(text, a.at + 1, x.s - a.at), '[', upper(x.kind), ']') as o) else struct(greatest(a.at, x.e) as at, a.o as o) end"
     masked = f"if(size(spans) = 0, text, aggregate({order}, struct(0 as at, '' as o), (a, x) -> {step}, a -> concat(a.o, substring(text, a.at + 1))))"
     rows = rows.withColumn("text", F.expr(f"if(_null, null, {masked})"))
-    return rows.select(*names)
+    return rows.select(*inner).toDF(*names)

@@ -142,3 +142,16 @@ def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataF
 
 def op10_compression_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return score(docs, fit(docs, labels), keep=["doc_id"])
+
+
+def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs`` without the rows that the classifier rejects; columns as before."""
+    model = fit(docs, labels)
+    at = docs.columns.index("text")
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pair = compressors(model.good, model.bad) if model.good else None
+        for b in batches:
+            yield b.filter(pa.array([model.weight * (difference(pair, t.as_py()) if pair else 0.0) + model.bias >= 0 for t in b.column(at)], pa.bool_()))
+
+    return in_batches(docs, work, docs.schema)

@@ -63,6 +63,12 @@ def op8_bit_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .linededup import op9_line_dedup as op
+
+    return op(table(spark, sf_dir, "documents"))
+
+
 def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import op10_compression_quality as op
 
@@ -70,7 +76,7 @@ def op10_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_transport_stream, op2_kneser_ney, op3_projection_passes, op4_weak_supervision, op5_water_filling, op6_vector_best_fit, op7_simhash, op8_bit_planes, op10_compression_quality)}
+    return {f.__name__: f for f in (op1_transport_stream, op2_kneser_ney, op3_projection_passes, op4_weak_supervision, op5_water_filling, op6_vector_best_fit, op7_simhash, op8_bit_planes, op9_line_dedup, op10_compression_quality)}
 
 
 def oracle_sql() -> dict[str, str]:
