@@ -6,8 +6,9 @@ double precision, reaches the threshold. A window emits links that join parts no
 its task. The passes' links are united into components.
 
 Equal vectors are compared once (one representative with a count). Links are then counted exactly inside
-components: the members of a component are dealt into blocks of ``BLOCK``, each pair of blocks is one
-matrix product that returns a count per member, so a large component costs products but never emits pairs.
+components: the members of a component are dealt into blocks (of 64 up to 256 blocks, then larger ones, 4096 at most),
+each pair of blocks is one matrix product that returns a count per member, so a large component costs products but
+never emits pairs and no task holds more than two blocks.
 
 A pair is missed only if no pass brings it into a window and no chain of found links joins it. Passes end at
 shuffle partition bounds; other passes have other bounds.
@@ -29,7 +30,8 @@ from pyspark.sql import functions as F
 from .common import in_batches, written
 from .graph import connected_components
 
-THRESHOLD, PASSES, BITS, WINDOW, BLOCK, SEED = 0.9, 24, 32, 24, 512, 7
+THRESHOLD, PASSES, BITS, WINDOW, SEED = 0.9, 24, 32, 24, 7
+BLOCK, BLOCKS, MOST = 64, 256, 4096  # rows of a block; blocks before they grow; rows of the largest
 
 
 def usable(column: str = "embedding") -> F.Column:
@@ -121,19 +123,27 @@ def _count(threshold: float):
         x = _matrix(group["embedding"].chunk(0))
         ids, n, side = (group[c].to_numpy() for c in ("id", "n", "side"))
         a, b = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        if not len(b):  # a block with itself
-            s = x[a] @ x[a].T >= threshold
-            np.fill_diagonal(s, False)
-            return pa.Table.from_arrays([pa.array(ids[a]), pa.array(s @ n[a])], schema=schema)
-        s = x[a] @ x[b].T >= threshold
-        return pa.Table.from_arrays([pa.array(np.r_[ids[a], ids[b]]), pa.array(np.r_[s @ n[b], n[a] @ s])], schema=schema)
+        alone = not len(b)  # a block with itself
+        if alone:
+            b = a
+        left, right = np.zeros(len(a), np.int64), np.zeros(len(b), np.int64)
+        for at in range(0, len(a), 512):
+            part = a[at : at + 512]
+            s = x[part] @ x[b].T >= threshold
+            if alone:
+                s[np.arange(len(part)), np.arange(at, at + len(part))] = False
+            left[at : at + 512] = s @ n[b]
+            right += n[part] @ s
+        if alone:
+            return pa.Table.from_arrays([pa.array(ids[a]), pa.array(left)], schema=schema)
+        return pa.Table.from_arrays([pa.array(np.r_[ids[a], ids[b]]), pa.array(np.r_[left, right])], schema=schema)
 
     return work
 
 
-def count_links(members: DataFrame, threshold: float = THRESHOLD, block: int = BLOCK) -> DataFrame:
+def count_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(id, links): for each of (component, id, n, embedding), the rows (n each) within its component that reach the threshold."""
-    sizes = members.groupBy("component").agg(F.count("*").alias("_k")).select("component", F.ceil(F.col("_k") / block).cast("int").alias("_blocks"))
+    sizes = members.groupBy("component").agg(F.count("*").alias("_k")).select("component", F.greatest(F.least(F.ceil(F.col("_k") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("_k") / MOST)).cast("int").alias("_blocks"))
     dealt = members.join(sizes, "component").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least("_own", j).alias("a"), F.greatest("_own", j).alias("b"), (F.col("_own") > j).cast("int").alias("side")))
     pairs = dealt.select("component", "id", "n", "embedding", F.explode(other).alias("p")).select("component", "p.a", "p.b", "p.side", "id", "n", "embedding")
