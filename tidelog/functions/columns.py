@@ -5,6 +5,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import codec
 
@@ -52,17 +53,17 @@ def _mixed(m: int) -> str:
     return f"({x}) ^ shiftright({x}, 16)"
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def key_hash_any(keys: pd.Series) -> pd.Series:
     return keys.map(lambda k: codec.key_hash(bytes(k)))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def crc32c(data: pd.Series) -> pd.Series:
     return data.map(lambda d: codec.crc32c(bytes(d)))
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(T.BooleanType())
 def bloom_probe(keys: pd.Series, filters: pd.Series) -> pd.Series:
     return pd.Series([codec.bloom_probe(bytes(k), bytes(f)) for k, f in zip(keys, filters, strict=True)])
 
