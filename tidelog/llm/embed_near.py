@@ -146,8 +146,9 @@ def count_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     sizes = members.groupBy("component").agg(F.count("*").alias("_k")).select("component", F.greatest(F.least(F.ceil(F.col("_k") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("_k") / MOST)).cast("int").alias("_blocks"))
     dealt = members.join(sizes, "component").withColumn("_own", F.pmod(F.xxhash64("id"), F.col("_blocks")).cast("int"))
     other = F.transform(F.sequence(F.lit(0), F.col("_blocks") - 1), lambda j: F.struct(F.least("_own", j).alias("a"), F.greatest("_own", j).alias("b"), (F.col("_own") > j).cast("int").alias("side")))
-    pairs = dealt.select("component", "id", "n", "embedding", F.explode(other).alias("p")).select("component", "p.a", "p.b", "p.side", "id", "n", "embedding")
-    return pairs.groupBy("component", "a", "b").applyInArrow(_count(threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
+    # One key: by component, a and b Spark would keep the join's partitions, a component in each.
+    pairs = dealt.select("component", "id", "n", "embedding", F.explode(other).alias("p")).select(F.struct("component", "p.a", "p.b").alias("cell"), "p.side", "id", "n", "embedding")
+    return pairs.groupBy("cell").applyInArrow(_count(threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
 def op3_projection_passes(embeddings: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
