@@ -2,6 +2,7 @@
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from tidelog.plans.queries import oracle_sql, queries
 
@@ -39,3 +40,14 @@ def test_bloom_has_no_false_negatives(spark):
 
     true = {r.run: r.n for r in in_runs(events_log(spark, SF)).selectExpr("run", "user_key").distinct().groupBy("run").count().withColumnRenamed("count", "n").collect()}
     assert all(got[k] >= n for k, n in true.items())
+
+
+def test_bloom_probes_every_run(spark, tmp_path):
+    from tidelog.schema import events_log, in_runs
+
+    keys = spark.range(20_000).selectExpr("id AS event_id", "id * 7919 % 97 AS user_id", "'view' AS event_type", "1.0D AS value")
+    kept = spark.read.parquet(f"{SF}/events.parquet")
+    keys.select(*[c if c in keys.columns else F.lit(None).cast(kept.schema[c].dataType).alias(c) for c in kept.columns]).write.parquet(f"{tmp_path}/events.parquet")
+    got = {r.run: r.candidates for r in queries()["bloom_candidates"](spark, str(tmp_path)).collect()}
+    true = {r.run: r.n for r in in_runs(events_log(spark, str(tmp_path))).selectExpr("run", "user_key").distinct().groupBy("run").count().withColumnRenamed("count", "n").collect()}
+    assert len(true) == 20 and got.keys() == true.keys() and all(got[k] >= n for k, n in true.items())
