@@ -191,6 +191,25 @@ def test_op9(spark):
         assert (r.n_units, r.removed) == (n, ",".join(f"{a}:{b}" for a, b in spans))
 
 
+def test_op9_passages_inside_sentences(spark):
+    rng = random.Random(9)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(n))
+    texts, planted = [], {}
+    for k in range(40):
+        passage = words(rng.randrange(51, 90))  # no sentence ends inside or around it
+        texts += [f"{words(30)} {passage} {words(25)}.", f"{words(13)} {passage.upper()}\n{words(40)}. {words(9)} {passage}"]
+        planted[2 * k + 1] = passage
+    short = "a short line here to tell"
+    texts += [f"{words(20)}\n{short}\n{words(8)}.", f"{words(12)}\n{short.upper()}\n{words(8)}.", f"{words(8)} {short} {words(8)}."]
+    got = {r.doc_id: r for r in linededup.op9_line_dedup(docs(spark, texts)).collect()}
+    left = [len(set(p.split()) & set(got[i].text.lower().split())) for i, p in planted.items()]
+    assert all(n <= 4 * (linededup.GAP + 1) for n in left)  # at both ends of both copies
+    assert sum(left) < 0.25 * sum(len(p.split()) for p in planted.values())
+    assert all(got[i].n_removed == 0 for i in (*range(0, 80, 2), 80, 82)) and got[81].text.count("\n") == 1
+    one = "again " * 300
+    assert linededup.removals(one, set())[1] == [] or linededup.removals(one, set())[1][0][0] >= 17 * 6
+
+
 @pytest.mark.parametrize("op,column,mod,rest", [(quality.op10_compression_quality, "quality", 3, 1), (toxicity.op2_kneser_ney, "toxic", 5, 0)])
 def test_classifiers(spark, op, column, mod, rest):
     sf = "/root/testdata/sf0.01"

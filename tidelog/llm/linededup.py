@@ -1,16 +1,24 @@
-"""Substring dedup by hashing lines and the sentences within them.
+"""Substring dedup by hashing lines, the sentences within them, and overlapping stretches of words.
 
-A unit is a sentence of a line (a line without sentence ends is one unit), normalised: lower case, runs of white space
-as one blank. Units of at least ``UNIT_WORDS`` words are hashed (XXH3, 128 bits) and grouped over all
-documents; the occurrence with the smallest (doc_id, offset) stays. In every other place a repeated unit goes
-if it stands in a run of repeated units (shorter units between them included) of at least ``RUN_WORDS`` words, so a phrase
-that two clean texts share by chance stays. A removed run takes the white space after it; what is kept keeps its original offsets.
+A unit is normalised (lower case, runs of white space as one blank), hashed (lines and sentences by XXH3 to 128 bits, stretches of words to 64) and grouped over all
+documents; the occurrence with the smallest (doc_id, offset) stays. There are three kinds:
+
+* a whole line of at least ``UNIT_WORDS`` words goes in every other place;
+* a sentence of a line (a line without sentence ends is one sentence) goes if it stands in a run of repeated sentences
+  (shorter ones between them included) of at least ``RUN_WORDS`` words, so a phrase that two clean texts share by chance stays;
+* a stretch of ``STRETCH`` words or a few more, from an anchor to an anchor, goes if it and the repeated stretches that it
+  overlaps have at least ``RUN_WORDS`` words. Anchors are chosen by the words alone: of any ``GAP`` neighbouring pairs of
+  words, the one with the least hash is an anchor. So equal passages have equal anchors wherever they start in a sentence, and
+  a passage of ``STRETCH + 3 * GAP`` words (below 50) always holds a whole stretch; at each end fewer than ``GAP + 1`` words stay, beyond what its lines and sentences remove.
+
+A removed span takes the white space after it; what is kept keeps its original offsets.
 
 Only (digest, doc_id) pairs are shuffled for the grouping, distinct within a document and pre-aggregated, then the
 repeated digests of each document meet its text.
 
 Edge cases: null and empty texts have no units (a null text stays null); rows with equal doc_id count as one document,
-so they keep the same units; a document without doc_id neither counts nor changes; extra columns are ignored.
+so they keep the same units; a document without doc_id neither counts nor changes; extra columns are ignored. Where a text
+repeats a stretch that overlaps itself (one word over and over), what the first one covers stays.
 """
 
 from __future__ import annotations
@@ -27,11 +35,14 @@ from pyspark.sql import functions as F
 from .common import batch, in_batches
 
 UNIT_WORDS, RUN_WORDS = 4, 20
+STRETCH, GAP = 16, 8  # words of a stretch at least; pairs of words of which one is an anchor
 _CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+_SPACE = np.zeros(0x3002, bool)
+_SPACE[[c for c in range(0x3001) if chr(c).isspace()]] = True
 
 
-def units(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, words) of every unit; offsets are code points."""
+def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words) of every sentence; offsets are code points."""
     at = 0
     for m in _CUT.finditer(text):
         if m.start() > at and (w := text[at : m.start()].lower().split()):
@@ -41,8 +52,92 @@ def units(text: str) -> Iterator[tuple[int, int, list[str]]]:
         yield at, len(text), w
 
 
-def digest(words: list[str]) -> bytes:
-    return xxhash.xxh3_128_digest(" ".join(words).encode())
+def lines(text: str) -> Iterator[tuple[int, int, list[str]]]:
+    """(start, end, words) of every line without the white space around it; a break before the words sets it apart from a sentence."""
+    at = 0
+    for part in text.split("\n"):
+        if w := part.lower().split():
+            yield at + len(part) - len(part.lstrip()), at + len(part.rstrip()), ["\n", *w]
+        at += len(part) + 1
+
+
+class _Hashes(dict):
+    """A hash per word, for a bounded number of words."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[word] = h = xxhash.xxh3_64_intdigest(word.encode())
+        return h
+
+
+_HASHES = _Hashes()
+_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
+_UP = _DOWN = np.ones(1, np.uint64)  # its powers and its inverse's
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    global _UP, _DOWN
+    if len(_UP) < n:
+        _UP, _DOWN = (np.cumprod(np.r_[np.uint64(1), np.full(2 * n, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
+    return _UP[:n], _DOWN[:n]
+
+
+def stretches(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, ends, numbers of words and 64-bit digests of the stretches between anchors, by their start."""
+    words = text.lower().split()
+    n = len(words)
+    if n <= STRETCH or n <= GAP:
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
+    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
+    pair = (h[:-1] ^ h[:-1] >> np.uint64(29)) * np.uint64(_BASE) + h[1:]
+    m = n - GAP  # windows of GAP pairs
+    least, at = pair[:m].copy(), np.arange(m)
+    for k in range(1, GAP):
+        less = pair[k : k + m] < least
+        np.copyto(least, pair[k : k + m], where=less)
+        np.copyto(at, np.arange(k, k + m), where=less)
+    chosen = np.zeros(n, bool)
+    chosen[at] = True
+    anchors = np.flatnonzero(chosen)
+    until = np.searchsorted(anchors, anchors + STRETCH)
+    whole = until < len(anchors)
+    a, z = anchors[whole], anchors[until[whole]] + 1  # an anchor is the first word of its pair
+    up, down = _powers(n)
+    sums = np.r_[np.uint64(0), np.cumsum(h * up)]
+    d = (sums[z] - sums[a]) * down[a]
+    d ^= d >> np.uint64(32)
+    code = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 0x3001)
+    edge = np.flatnonzero(np.diff(_SPACE[code], prepend=True, append=True))
+    return edge[0::2][a], edge[1::2][z - 1], z - a, d
+
+
+class Stretch:
+    """Stands for a stretch's words: their number and digest."""
+
+    def __init__(self, words: int, digest: bytes) -> None:
+        self.words, self.digest = words, digest
+
+    def __len__(self) -> int:
+        return self.words
+
+
+def _bytes(digests: np.ndarray) -> list[bytes]:
+    raw, rest = digests.astype("<u8").tobytes(), bytes(8)
+    return [raw[i : i + 8] + rest for i in range(0, len(raw), 8)]
+
+
+def units(text: str) -> Iterator[tuple[int, int, list[str] | Stretch]]:
+    """(start, end, words) of every unit: sentences, lines, then stretches, each by their start."""
+    yield from sentences(text)
+    yield from lines(text)
+    starts, ends, words, digests = stretches(text)
+    for a, b, n, d in zip(starts.tolist(), ends.tolist(), words.tolist(), _bytes(digests), strict=True):
+        yield a, b, Stretch(n, d)
+
+
+def digest(words: list[str] | Stretch) -> bytes:
+    return words.digest if isinstance(words, Stretch) else xxhash.xxh3_128_digest(" ".join(words).encode())
 
 
 _KEYS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64())])
@@ -53,7 +148,12 @@ def _emit(least: int):
         for b in batches:
             ids, found = [], []
             for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own = {digest(w) for _, _, w in units(t.as_py() or "") if len(w) >= least} if i is not None else ()
+                own: set[bytes] = set()
+                if i is not None:
+                    text = t.as_py() or ""
+                    own.update(digest(w) for _, _, w in sentences(text) if len(w) >= least)
+                    own.update(digest(w) for _, _, w in lines(text) if len(w) > least)
+                    own.update(_bytes(stretches(text)[3]))
                 ids.append(np.full(len(own), i or 0, np.int64))
                 found.extend(own)
             d = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
@@ -63,10 +163,11 @@ def _emit(least: int):
 
 
 def removals(text: str, repeated: set[bytes], unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS) -> tuple[int, list[tuple[int, int]]]:
-    """The number of units and the spans to remove, given the digests that an earlier document holds."""
+    """The number of sentences and the spans to remove, given the digests that an earlier document holds."""
     own, spans, n = set(), [], 0
-    run: list[tuple[int, int]] = []  # start of the run and end of its last repeated unit
+    run: list[tuple[int, int]] = []  # start of the run and end of its last repeated sentence
     words = 0
+    covered: list[tuple[int, int]] = []  # by repeated stretches; they overlap
 
     def close() -> None:
         nonlocal run, words
@@ -74,10 +175,10 @@ def removals(text: str, repeated: set[bytes], unit_words: int = UNIT_WORDS, run_
             spans.append((run[0][0], run[-1][1]))
         run, words = [], 0
 
-    for a, b, w in units(text):
+    for a, b, w in sentences(text):
         n += 1
         if len(w) < unit_words:
-            continue  # too short to tell: part of a run if repeated units follow
+            continue  # too short to tell: part of a run if repeated sentences follow
         d = digest(w)
         if d in repeated or d in own:
             run.append((a, b))
@@ -86,11 +187,35 @@ def removals(text: str, repeated: set[bytes], unit_words: int = UNIT_WORDS, run_
             close()
         own.add(d)
     close()
-    out = []
-    for a, b in spans:
+    for a, b, w in lines(text):
+        if len(w) > unit_words:
+            d = digest(w)
+            if d in repeated or d in own:
+                spans.append((a, b))
+            own.add(d)
+    first: dict[bytes, int] = {}  # where a stretch ends first in this text
+    starts, ends, _, digests = stretches(text)
+    for a, b, d in zip(starts.tolist(), ends.tolist(), _bytes(digests), strict=True):
+        if d not in repeated:
+            until = first.setdefault(d, b)
+            if until == b:
+                continue
+            a = max(a, until)
+        if covered and a <= covered[-1][1]:
+            covered[-1] = (min(covered[-1][0], a), max(covered[-1][1], b))
+        else:
+            covered.append((a, b))
+    spans += [(a, b) for a, b in covered if len(text[a:b].split()) >= run_words]
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
         while b < len(text) and text[b].isspace():
             b += 1
-        out.append((a, b))
+        while a < b and text[a].isspace():
+            a += 1
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(out[-1][1], b))
+        elif a < b:
+            out.append((a, b))
     return n, out
 
 
@@ -105,7 +230,7 @@ def _clean(unit_words: int, run_words: int):
                 text = t.as_py()
                 flat = ds.values
                 known = {x["d1"].to_bytes(8, "little", signed=True) + x["d2"].to_bytes(8, "little", signed=True) for x in flat.to_pylist()} if flat is not None else set()
-                n, spans = removals(text or "", known, unit_words, run_words) if i is not None else (sum(1 for _ in units(text or "")), [])
+                n, spans = removals(text or "", known, unit_words, run_words) if i is not None else (sum(1 for _ in sentences(text or "")), [])
                 kept, at = [], 0
                 for a, z in [*spans, (len(text or ""),) * 2]:
                     if a > at:
