@@ -115,6 +115,28 @@ def test_op3(spark):
     assert embed_near.op3_projection_passes(df.limit(0)).count() == 0
 
 
+def test_op3_hot_topic(spark):
+    """A third of the vectors share a cosine of 0.8; pairs of 0.9 to 0.93 lie inside that third."""
+    rng = np.random.default_rng(3)
+    unit = lambda x: x / np.linalg.norm(x, axis=-1, keepdims=True)
+    n, hot, d, pairs = 12_000, 4000, 64, 300
+    x = unit(rng.standard_normal((n, d)))
+    c = unit(rng.standard_normal(d))
+    away = unit(x[:hot] - (x[:hot] @ c)[:, None] * c)
+    x[:hot] = np.sqrt(0.8) * c + np.sqrt(0.2) * away
+    goal = rng.uniform(0.9, 0.93, pairs)
+    other = unit(rng.standard_normal((pairs, d)))
+    for v in (np.broadcast_to(c, other.shape), away[:pairs]):
+        other -= (other * v).sum(axis=1, keepdims=True) * v
+    inner = (goal - 0.8) / 0.2
+    mates = np.sqrt(0.8) * c + np.sqrt(0.2) * (inner[:, None] * away[:pairs] + np.sqrt(1 - inner**2)[:, None] * unit(other))
+    x = np.r_[x, mates]
+    got = {r.vec_id: r.n_links for r in embed_near.op3_projection_passes(spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")).collect()}
+    y = unit(x)
+    true = (y @ y.T >= 0.9).sum(axis=1) - 1
+    assert true.sum() >= 2 * 0.95 * pairs and sum(got.values()) >= 0.995 * true.sum() and all(got[i] <= true[i] for i in got)
+
+
 PII = [None, "", "a@b.c._x@d.e x@y.z.w", "1.2.3.4.5.6.7.8 256.1.1.1 0001.2.3.4 00000.0.0.0", " é 𝒳 4111 1111 1111 1111 x 4111-1111-1111-1112", "+1 (599) 555-3756 and +49 30 1234567 and +1 2", "9" * 20_000, "a" * 20_000 + "@b.c", "+" * 50 + "1" * 9 + " +1((((((2", "x.y@-.- é@é.com a%+b@c.d", "12 34 5678 9012 3456 78", "1.2.3.400 1.2.3.4"]
 
 

@@ -1,17 +1,20 @@
 """Embedding near-duplicates by sorted projection passes.
 
-A pass gives each vector the signs of seeded random projections as one word of bits, orders the vectors by
-it, and compares every vector with its next ``window`` neighbours; a pair counts only if its cosine, in
-double precision, reaches the threshold. A window emits links that join parts not yet joined in
-its task. The passes' links are united into components.
+A pass splits the vectors by seeded random projections, level by level, at the median of what a range holds (of a bounded
+seeded sample of the vectors), until a range has ``LEAF`` vectors or fewer; so a crowded region is split about its own
+centre and not about the origin. The vectors are ordered by range and those of one range are all compared; a pair counts only if its cosine, in
+double precision, reaches the threshold. A range emits links that join parts not yet joined in
+its task. The passes' links are united into components. Up to ``LEAF`` vectors of a dimension are one range, hence exact.
+
+There are ``passes`` passes at least, and as many more as the data asks: pairs at the threshold are planted beside sampled
+vectors, the share of passes that keeps each together is taken, and passes are added until the expected share of such pairs that no pass keeps together is ``MISS`` at most.
 
 Equal vectors are compared once (one representative with a count). Links are then counted exactly inside
 components: the members of a component are dealt into blocks (of 64 up to 256 blocks, then larger ones, 4096 at most),
 each pair of blocks is one matrix product that returns a count per member, so a large component costs products but
 never emits pairs and no task holds more than two blocks.
 
-A pair is missed only if no pass brings it into a window and no chain of found links joins it. Passes end at
-shuffle partition bounds; other passes have other bounds.
+A pair is missed only if no pass keeps it in one range and no chain of found links joins it.
 
 Edge cases: vectors that are null, empty, zero, or hold null or non-finite components link with nothing and are
 their own component; vectors of unlike dimension never link; rows that repeat a vec_id count as
@@ -30,7 +33,8 @@ from pyspark.sql import functions as F
 from .common import in_batches, written
 from .graph import connected_components
 
-THRESHOLD, PASSES, BITS, WINDOW, SEED = 0.9, 24, 32, 24, 7
+THRESHOLD, PASSES, SEED = 0.9, 24, 7
+LEAF, SAMPLE, PLANTED, MISS = 1024, 16_384, 1024, 1e-3  # vectors of a range; sampled at least; pairs to measure by; share of pairs that may be missed
 BLOCK, BLOCKS, MOST = 64, 256, 4096  # rows of a block; blocks before they grow; rows of the largest
 
 
@@ -55,22 +59,88 @@ def _by_dimension(b: pa.RecordBatch, at: int) -> Iterator[tuple[int, np.ndarray,
         yield int(d), rows, _matrix(b.column(at).take(pa.array(rows)))
 
 
+class Passes:
+    """The splits of every pass for one dimension: a direction for each level, and a bound for each range of a level."""
+
+    def __init__(self, sample: np.ndarray, count: int, least: int, threshold: float, seed: int, leaf: int) -> None:
+        d = sample.shape[1]
+        self.levels = max(0, int(np.ceil(np.log2(max(count, 1) / leaf))))
+        self.rng, self.directions, self.bounds = np.random.default_rng([seed, d]), [], []
+        if not self.levels or not len(sample):
+            self.levels, self.number = 0, 1
+            return
+        self._grow(sample, least)
+        x = sample[self.rng.permutation(len(sample))[:PLANTED]]
+        u = self.rng.standard_normal(x.shape)
+        u -= (u * x).sum(axis=1, keepdims=True) * x
+        y = threshold * x + np.sqrt(max(0.0, 1 - threshold**2)) * u / np.maximum(np.linalg.norm(u, axis=1, keepdims=True), 1e-300)
+        kept = np.zeros(len(x))
+        while True:
+            while self.seen < len(self.directions):
+                kept += self.keys(x, self.seen) == self.keys(y, self.seen)
+                self.seen += 1
+            share = (kept + 0.5) / (self.seen + 1)  # no pair counts as hopeless
+            if self.number >= least and ((1 - share) ** self.number).mean() <= MISS:
+                break
+            self._grow(sample, 8)
+
+    seen = 0
+
+    def _grow(self, sample: np.ndarray, more: int) -> None:
+        for _ in range(more):
+            g = self.rng.standard_normal((sample.shape[1], self.levels))
+            at, node, bounds = sample @ g, np.zeros(len(sample), np.int64), []
+            for k in range(self.levels):
+                order = np.lexsort((at[:, k], node))
+                first = np.searchsorted(node[order], np.arange(1 << k))
+                n = np.diff(np.r_[first, len(node)])
+                middle = np.zeros(1 << k)
+                middle[n > 0] = at[order[(first + n // 2)[n > 0]], k]
+                bounds.append(middle)
+                node = 2 * node + (at[:, k] >= middle[node])
+            self.directions.append(g), self.bounds.append(bounds)
+        self.number = len(self.directions)
+
+    def keys(self, x: np.ndarray, p: int) -> np.ndarray:
+        """The range of every row in pass ``p``."""
+        node = np.zeros(len(x), np.int64)
+        if self.levels:
+            at = x @ self.directions[p]
+            for k, middle in enumerate(self.bounds[p]):
+                node = 2 * node + (at[:, k] >= middle[node])
+        return node
+
+
 _KEYED = pa.schema([("pass_key", pa.int64()), ("dim", pa.int32()), ("id", pa.int64()), ("embedding", pa.list_(pa.float64()))])
 
 
-def _project(passes: int, bits: int, seed: int):
+def plan_passes(vectors: DataFrame, threshold: float, passes: int, seed: int, leaf: int) -> dict[int, Passes]:
+    """For every dimension, from a sample of ``vectors`` that is bounded (16 vectors a range, up to 2 ** 18 in all)."""
+    counts = {r.dim: r.n for r in vectors.groupBy(F.size("embedding").alias("dim")).agg(F.count("*").alias("n")).collect()}  # a row for each dimension
+    total = sum(counts.values())
+    most = min(max(SAMPLE, total * 16 // leaf), 1 << 18)
+    share = min(1.0, most / max(total, 1))
+    picked = vectors.where(F.pmod(F.xxhash64("embedding", F.lit(seed)), F.lit(1 << 30)) < int(share * (1 << 30))).select("embedding")
+    found: dict[int, list[np.ndarray]] = {}
+    for b in picked.toArrow().to_batches():
+        for d, _, x in _by_dimension(b, 0):
+            found.setdefault(d, []).append(x)
+    out = {}
+    for d, n in counts.items():
+        x = np.concatenate(found.get(d, [np.zeros((0, d))]))
+        out[d] = Passes(x[np.lexsort(x.T[:2])] if len(x) else x, n, passes, threshold, seed, leaf)
+    return out
+
+
+def _project(plans):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        planes: dict[int, np.ndarray] = {}
-        weights = 1 << np.arange(bits - 1, -1, -1, dtype=np.int64)
         for b in batches:
             for d, rows, x in _by_dimension(b, 1):
-                if d not in planes:
-                    planes[d] = np.random.default_rng([seed, d]).standard_normal((passes, d, bits))
                 take = pa.array(rows)
-                ids, vectors = b.column(0).take(take), b.column(1).take(take)
-                for p in range(passes):
-                    key = (p << bits) + (x @ planes[d][p] > 0) @ weights
-                    yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(np.full(len(rows), d, np.int32)), ids, vectors.cast(pa.list_(pa.float64()))], schema=_KEYED)
+                ids, vectors = b.column(0).take(take), b.column(1).take(take).cast(pa.list_(pa.float64()))
+                plan = plans.value[d]
+                for p in range(plan.number):
+                    yield pa.RecordBatch.from_arrays([pa.array((p << 40) + plan.keys(x, p)), pa.array(np.full(len(rows), d, np.int32)), ids, vectors], schema=_KEYED)
 
     return work
 
@@ -86,33 +156,51 @@ class _Forest(dict):
 _PAIR = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _windows(threshold: float, window: int):
+def _compare(threshold: float):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        forest, held_ids, held = _Forest(), np.zeros(0, np.int64), None
-        for b in batches:
+        forest = _Forest()
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        now = None
+
+        def flush() -> pa.RecordBatch:
             us, vs = [], []
-            for d, rows, x in _by_dimension(b, 1):
-                ids = b.column(0).to_numpy(zero_copy_only=False)[rows]
-                if held is not None and held.shape[1] == d:
-                    ids, x = np.r_[held_ids, ids], np.r_[held, x]
-                for k in range(1, min(window, len(x) - 1) + 1):
-                    near = np.flatnonzero(np.einsum("ij,ij->i", x[:-k], x[k:]) >= threshold)
-                    for u, v in zip(ids[near].tolist(), ids[near + k].tolist(), strict=True):
+            ids = np.concatenate([i for i, _ in held])
+            x = np.concatenate([v for _, v in held])
+            for a in range(0, len(x), 512):
+                for z in range(a, len(x), 4096):
+                    i, j = np.nonzero(x[a : a + 512] @ x[z : z + 4096].T >= threshold)
+                    ahead = a + i < z + j
+                    for u, v in zip(ids[a + i[ahead]].tolist(), ids[z + j[ahead]].tolist(), strict=True):
                         ru, rv = forest.root(u), forest.root(v)
                         if ru != rv:
                             forest[max(ru, rv)] = min(ru, rv)
                             us.append(u), vs.append(v)
-                held_ids, held = ids[-window:], x[-window:]
-            yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=_PAIR)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64())], schema=_PAIR)
+
+        for b in batches:
+            keys, dims, every = (b.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 2))
+            cuts = np.flatnonzero((np.diff(keys) != 0) | (np.diff(dims) != 0)) + 1
+            for a, z in zip([0, *cuts.tolist()], [*cuts.tolist(), len(keys)], strict=True):
+                if a == z:
+                    continue
+                here = (int(dims[a]), int(keys[a]))
+                if held and here != now:
+                    yield flush()
+                now = here
+                held.append((every[a:z], _matrix(b.column(3).slice(a, z - a))))
+        if held:
+            yield flush()
 
     return work
 
 
-def find_links(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, bits: int = BITS, window: int = WINDOW, seed: int = SEED) -> DataFrame:
+def find_links(vectors: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, seed: int = SEED, leaf: int = LEAF) -> DataFrame:
     """(u, v): verified pairs of (id, embedding) rows, enough of them to join what the passes find."""
-    keyed = in_batches(vectors.select("id", "embedding"), _project(passes, bits, seed), "pass_key long, dim int, id long, embedding array<double>")
-    dealt = keyed.repartitionByRange("dim", "pass_key", "id").sortWithinPartitions("dim", "pass_key", "id")
-    return in_batches(dealt.select("id", "embedding"), _windows(threshold, window), "u long, v long").distinct()
+    plans = vectors.sparkSession.sparkContext.broadcast(plan_passes(vectors, threshold, passes, seed, leaf))
+    keyed = in_batches(vectors.select("id", "embedding"), _project(plans), "pass_key long, dim int, id long, embedding array<double>")
+    dealt = keyed.repartition("dim", "pass_key").sortWithinPartitions("dim", "pass_key", "id")
+    return in_batches(dealt.select("pass_key", "dim", "id", "embedding"), _compare(threshold), "u long, v long").distinct()
 
 
 def _count(threshold: float):
@@ -151,12 +239,12 @@ def count_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return pairs.groupBy("cell").applyInArrow(_count(threshold), "id long, links long").groupBy("id").agg(F.sum("links").alias("links"))
 
 
-def op3_projection_passes(embeddings: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES, window: int = WINDOW) -> DataFrame:
+def op3_projection_passes(embeddings: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES) -> DataFrame:
     """vec_id, n_links, component_id, kept: one row per row of ``embeddings``."""
     rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
     valid = rows.where(usable())
     reps = written(valid.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "vectors")  # stored, so the ids stay
-    cc = written(connected_components(find_links(reps, threshold, passes, window=window), "embeddings"), "components")
+    cc = written(connected_components(find_links(reps, threshold, passes), "embeddings"), "components")
     members = cc.withColumnRenamed("node", "id").join(reps, "id")
     links = count_links(members.select("component", "id", "n", "embedding"), threshold)
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
