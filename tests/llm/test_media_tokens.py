@@ -73,6 +73,16 @@ def test_encoder_is_the_tokenizer(name):
         assert e.encode(t) == e._whole(t), t
 
 
+@pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
+def test_added_tokens_are_the_contracts(name):
+    from tokenizers import Tokenizer
+
+    plain, e = Tokenizer.from_file(tokenizer_path(name)), tokens.Encoder(tokenizer_path(name))
+    assert plain.token_to_id("<|endoftext|>") is not None
+    for t in ["foo <|endoftext|> bar", "a<|startoftext|>b <|endoftext|>", "FOO <|ENDOFTEXT|> bar", "<|endoftext", "日本 <|endoftext|>"]:
+        assert np.frombuffer(e.encode(t), "<u4").tolist() == plain.encode(t, add_special_tokens=False).ids, t
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1), max_size=500), st.sampled_from([1, 8]), st.integers(1, 100))
 def test_planes_round_trip(ids, unit, block):

@@ -2,7 +2,7 @@
 
 A text whose only white space is blank, tab and line end is cut where the tokenizer's own
 pre-tokenizer always cuts, each distinct piece is encoded once per worker, and the memo joins
-the pieces' ids. Any other text goes to the tokenizer whole. Both give the same ids (tested).
+the pieces' ids. Any other text, and one that holds an added token such as ``<|endoftext|>``, goes to the tokenizer whole. Both give the same ids (tested).
 """
 
 from __future__ import annotations
@@ -58,7 +58,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         before, rules = spec["pre_tokenizer"] or {}, (spec["normalizer"] or {}).get("normalizers", [])
@@ -67,6 +66,9 @@ class Encoder:
             self.cut, self.lower = _BLANK.findall, False  # a blank belongs to the word after it
         elif spec["model"]["type"] == "BPE" and "[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+" in str(before.get("pretokenizers", [{}])[0].get("pattern")).replace("\\\\", "\\") and [x["type"] for x in rules] == ["NFC", "Replace", "Lowercase"]:
             self.cut, self.lower = _WORDS.findall, True  # white space is dropped
+        self.added = [t["content"] for t in spec.get("added_tokens", [])]  # ids of their own wherever a text holds them
+        if self.cut and self.lower:
+            self.added = [t.lower() for t in self.added]
         self.model, self.table = self.tokenizer.model, _byte_chars()
         self.words = Memo(self._word, memo)
 
@@ -87,7 +89,10 @@ class Encoder:
     def encode(self, text: str) -> bytes:
         if not self.cut or not _PLAIN.fullmatch(text):
             return self._whole(text)
-        return b"".join(map(self.words.__getitem__, self.cut(text.lower() if self.lower else text)))
+        seen = text.lower() if self.lower else text
+        if any(t in seen for t in self.added):
+            return self._whole(text)
+        return b"".join(map(self.words.__getitem__, self.cut(seen)))
 
 
 _ENCODERS: dict[str, Encoder] = {}
