@@ -63,6 +63,15 @@ def test_op1(spark):
     assert media_ts.op1_transport_stream(frame(spark).limit(0)).count() == 0
 
 
+def test_feature_holds_every_random_access_point():
+    s = media_ts.demux(media_ts.mux(bytes(576 * 16 * 8 * 20)))
+    listed = media_ts.feature(s).split(";raps=20@")[1].split(";")[0].split(",")
+    assert listed == [f"{p.pts}/{p.offset}" for p in s.pes if p.random_access] and len(listed) == 20
+    before = media_ts.feature(s)
+    s.pes[5].pts += 1
+    assert media_ts.feature(s) != before
+
+
 @pytest.mark.parametrize("name", ["word_bpe_49k.json", "byte_bpe_50k.json"])
 def test_encoder_is_the_tokenizer(name):
     e = tokens.Encoder(tokenizer_path(name), memo=50)

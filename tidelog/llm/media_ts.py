@@ -246,11 +246,12 @@ def padded(text: str | None) -> bytes:
 
 
 def feature(s: Stream) -> str:
-    """What the stream's index says: tables, continuity, time stamps and random-access points."""
-    raps = [p.pts for p in s.pes if p.random_access]
+    """What the stream's index says: tables, continuity, a digest of all time stamps, and every random-access point (pts/offset)."""
+    raps = [f"{'' if p.pts is None else p.pts}/{p.offset}" for p in s.pes if p.random_access]
+    index = hashlib.sha256(",".join(f"{p.pid}:{p.pts}:{p.dts}" for p in s.pes).encode()).hexdigest()
     stamps = [p.pts for p in s.pes if p.pts is not None]
     tables = ",".join(f"{n}:{s.programs[n]}:" + "+".join(f"{pid}/{kind}" for pid, (of, kind) in sorted(s.streams.items()) if of == n) for n in sorted(s.programs))
-    return f"programs={tables};packets={s.packets};pes={len(s.pes)};cc_errors={sum(s.cc_errors.values())};pts={min(stamps, default='')}..{max(stamps, default='')};raps={len(raps)}@{','.join(map(str, raps[:8]))};pcr={len(s.pcr)}"
+    return f"programs={tables};packets={s.packets};pes={len(s.pes)};cc_errors={sum(s.cc_errors.values())};pts={min(stamps, default='')}..{max(stamps, default='')}#{index};raps={len(raps)}@{','.join(raps)};pcr={len(s.pcr)}"
 
 
 _MEDIA = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("media", pa.binary())])
