@@ -51,3 +51,9 @@ def test_bloom_probes_every_run(spark, tmp_path):
     got = {r.run: r.candidates for r in queries()["bloom_candidates"](spark, str(tmp_path)).collect()}
     true = {r.run: r.n for r in in_runs(events_log(spark, str(tmp_path))).selectExpr("run", "user_key").distinct().groupBy("run").count().withColumnRenamed("count", "n").collect()}
     assert len(true) == 20 and got.keys() == true.keys() and all(got[k] >= n for k, n in true.items())
+
+
+def test_merge_covers_the_whole_log(spark):
+    from tidelog.schema import events_log
+
+    assert queries()["merge_runs_whole"](spark, SF).select("seq").distinct().count() == events_log(spark, SF).select("seq").distinct().count()

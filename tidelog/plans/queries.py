@@ -185,6 +185,12 @@ def _(s, d):
     return merge.merge_runs([log.where("seq % 2 = 0"), log.where("seq % 3 = 0")])
 
 
+@query("merge_runs_whole", "SELECT user_key, seq, kind, value FROM L ORDER BY user_key, seq DESC")
+def _(s, d):
+    log = L(s, d)
+    return merge.merge_runs([log.where("seq % 2 = 0"), log.where("seq % 2 = 1")])
+
+
 def _ops(s, d):
     return table(s, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("ops")).select(F.col("l_orderkey").alias("batch"), F.col("l_linenumber").alias("pos"), "ops")
 
