@@ -41,15 +41,25 @@ def written(df: DataFrame, what: str, **options: str) -> DataFrame:
     """Cut the lineage: write ``df`` as Parquet into the shared folder and read it back."""
     path = fresh_path(df.sparkSession, what)
     df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.stored_at = path
+    return back
+
+
+def discard(df: DataFrame) -> None:
+    """Delete what ``written`` stored for ``df``, once nothing will read it again."""
+    spark = df.sparkSession
+    where = spark._jvm.org.apache.hadoop.fs.Path(df.stored_at)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def in_batches(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: T.StructType | str) -> DataFrame:
-    """``mapInArrow`` with small batches, so that long texts stay within a worker's memory."""
-    conf = df.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    return df.mapInArrow(work, schema)
+    """``mapInArrow`` over small batches, so that what is made from long texts stays within a worker's memory."""
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return work(b.slice(k, BATCH_ROWS) for b in batches for k in range(0, max(b.num_rows, 1), BATCH_ROWS))
+
+    return df.mapInArrow(small, schema)
 
 
 def batch(schema: pa.Schema, columns: list[list]) -> pa.RecordBatch:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 
 def _mark(edges: DataFrame) -> tuple:
@@ -30,7 +30,8 @@ def connected_components(edges: DataFrame, what: str, rounds: int = 60) -> DataF
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = written(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), what)
+        old, e = e, written(small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct(), what)
+        discard(old)
         before, mark = mark, _mark(e)
         if mark == before:
             break
