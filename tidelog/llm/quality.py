@@ -5,13 +5,14 @@ the normalised difference of its compressed sizes, (bad - good) / length; a one-
 logistic regression turns it into a calibrated score.
 
 Bounds (parameters): a dictionary takes at most ``per_class`` labelled rows of its class, the
-calibration at most ``per_class`` more of each; rows are chosen by a seeded hash of doc_id, so
-reruns agree. Everything else reads all rows. The model (two dictionaries and two weights) has
+calibration at most ``per_class`` more of each, and all of them ``FIT_BYTES`` of text at most (whole texts only); rows are
+chosen by a seeded hash of doc_id, so reruns agree. Everything else reads all rows. The model (two dictionaries and two weights) has
 a fixed size and goes to the workers with the task.
 
 Edge cases: null and empty texts are scored like any text (length 0 counts as 1); where a class
 has no labelled row, or too little text for a dictionary, every score is the share of good labels (0.5
-without labels); extra columns are ignored; repeated rows get equal scores.
+without labels); extra columns are ignored, and ones named as a result are replaced; repeated rows get equal scores, and a
+labelled doc_id that several rows hold is fitted once, by the least of their texts.
 """
 
 from __future__ import annotations
@@ -23,12 +24,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import in_batches
 
 PER_CLASS, DICT_BYTES, LEVEL, SEED = 2000, 112 << 10, 3, 20240
+FIT_BYTES = 64 << 20  # of labelled text that a fit reads
 
 
 @dataclass
@@ -51,6 +53,15 @@ def labelled(labels: DataFrame, column: str, per_class: int, kept_out: F.Column)
     return picked[0].unionByName(picked[1])
 
 
+def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, per_class: int, kept_out: F.Column, most: int = FIT_BYTES) -> DataFrame:
+    """(doc_id, y, text): the sample of ``labelled`` with its whole texts, in its order as long as a class's share of ``most`` bytes lasts."""
+    picked = labelled(labels, column, per_class, kept_out)
+    sized = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("_n")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.max("_n").alias("_n"))
+    run = F.sum("_n").over(Window.partitionBy("y").orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{SEED}"))), "doc_id"))
+    fitting = sized.withColumn("_run", run).where(F.col("_run") <= most // 2).select("doc_id", "y")  # 2 * per_class rows of a class at most
+    return docs.select("doc_id", "text").join(F.broadcast(fitting), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, balance: float = 0.0) -> np.ndarray:
     """Newton's method; the last weight is the bias. balance: 0 keeps the classes' shares, 1 makes them equal."""
     z = np.c_[x, np.ones(len(x))]
@@ -89,8 +100,7 @@ def dictionary(texts: list[str], size: int) -> bytes | None:
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS, dict_bytes: int = DICT_BYTES) -> Model:
-    picked = labelled(labels, "quality", per_class, held_out())
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").collect()  # 4 * per_class labels at most
+    rows = labelled_texts(docs, labels, "quality", per_class, held_out()).collect()  # 4 * per_class rows, FIT_BYTES at most
     rows = sorted(((sample_order(r.doc_id), r.doc_id, r.text or "", r.y) for r in rows), key=lambda r: r[:3])
     fitting, checking = {0: [], 1: []}, []
     for c in (0, 1):
@@ -117,8 +127,6 @@ def sample_order(doc_id: int) -> str:
     return hashlib.md5(f"{doc_id}:{SEED}".encode()).hexdigest()
 
 
-
-
 def score(docs: DataFrame, model: Model, keep: list[str] | None = None) -> DataFrame:
     """``keep`` (all columns unless given) of ``docs`` with held_out, score and predicted, which replace columns of these names."""
     import zlib

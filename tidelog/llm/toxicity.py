@@ -1,20 +1,28 @@
 """Toxicity: class-conditional Kneser-Ney models.
 
-One interpolated Kneser-Ney bigram model for toxic text and one for ordinary text. Words and pairs count
-their contexts, that is the distinct words before them, so many copies of one text add no more than the text itself. Counts are discounted by ``D``; both classes back off to one shared distribution, whose counts come from
-all documents of the corpus, and from it to a uniform one, so an expression that the labelled rows hardly show weighs
-little. Both classes share the backoff weight of a context, hence a pair that no class kept scores as its word.
+One interpolated Kneser-Ney bigram model for toxic text and one for ordinary text. Words and pairs count their contexts, that
+is the distinct words before them, so many copies of one text add no more than the text itself. With N(w) contexts of a word
+in a class, T in all, and n(v w) and H(v) alike for pairs:
 
-A text's features are differences of log-likelihoods, normalised by length: of the whole text, of its most
-toxic window of three words (in both, words with their pairs), and of its most toxic word. A logistic regression on labelled rows that
-the counts didn't see calibrates them.
+    P(w)     = max(N(w) - D, 0) / T + g S(w)            g    = sum of min(N, D) / T
+    P(w | v) = max(n(v w) - D, 0) / H(v) + g(v) P(w)    g(v) = sum over w of min(n(v w), D) / H(v)
+
+g and g(v) are each class's own discounted mass. S, the shared backoff, counts the documents of the whole corpus that hold a
+word, and is the same for both classes, so an expression that the labelled rows hardly show weighs alike in both. D is 3: a
+class's own counts tell from four contexts on (one toxic row in ten leaves the words of ordinary prose with a few chance
+contexts each). Words that neither class keeps are one unknown word, so each P sums to one.
+
+A text's features are two differences of log-likelihoods (toxic less ordinary), each divided by its number of words: of the whole
+text, and of that window of ``WINDOW`` words where it is greatest, since few words of a toxic text are toxic. A logistic
+regression on labelled rows that the counts didn't see calibrates them; the whole text's is the level that the window is
+compared with.
 
 Bounds (parameters): labelled rows are a seeded sample of ``2 * per_class`` rows of each class at most, three quarters for
-counts and the rest for calibration; the models keep words with two contexts and pairs with three, so their size is bounded
-by the sample. The shared counts of these words cover every document.
+counts and the rest for calibration, and of ``FIT_BYTES`` bytes of text in all; what reaches the driver are the words, pairs and heads above D contexts of that sample. The
+shared counts of these words cover every document.
 
-Edge cases: null and empty texts score as a text without evidence; without labels of both classes every score is
-the share of toxic labels (0 without labels); repeated rows count as given; extra columns are ignored.
+Edge cases: null and empty texts have features zero; without labels of both classes every score is
+the share of toxic labels (0.5 without labels); repeated rows count as given; extra columns are ignored, also ones named as a result.
 """
 
 from __future__ import annotations
@@ -31,10 +39,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import batch, in_batches, written
-from .quality import SEED, labelled, logistic
+from .quality import SEED, labelled_texts, logistic
 
-PER_CLASS, D, SHARED, WINDOW = 4000, 0.75, 0.5, 3
-PRIOR, TELLS, BROAD = 50.0, 0.7, 20  # pseudo-contexts of a head; how much more than its word a pair must tell to be kept; contexts of its words
+PER_CLASS, D, WINDOW = 4000, 3.0, 3
 PRIOR_SHARE = 0.5  # of the prior log odds, beside the balanced calibration
 _WORDS = re.compile(r"[^\W_]+").findall
 
@@ -47,9 +54,7 @@ def held_out() -> F.Column:
     return F.crc32(F.col("doc_id").cast("string")) % 5 == 0
 
 
-_COUNT = pa.schema([("y", pa.int32()), ("key", pa.string()), ("n", pa.int64())])
-
-
+_COUNT = pa.schema([("key", pa.string()), ("n", pa.int64())])
 _TRIPLE = pa.schema([("y", pa.int32()), ("key", pa.string())])
 
 
@@ -66,111 +71,113 @@ def _triples(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log-likelihood ratios of words and pairs, and the calibration's weights."""
-
-    def __init__(self, words: dict[str, float], pairs: dict[tuple[str, str], float]) -> None:
-        self.words, self.pairs, self.beta = words, pairs, [0.0, 0.0, 0.0, 0.0]
+    """Both classes' probabilities (rows: ordinary, toxic) as arrays over word ids (0: unknown), and the calibration's weights.
+
+    words: N of kept words by class; total: T and the sum of max(N - D, 0) by class; pairs: n of kept pairs by class; heads: H
+    and the sum of max(n - D, 0) of their first words by class; corpus: documents of each word, every: sum over all words."""
+
+    def __init__(self, words: dict[str, tuple], total: list[tuple], pairs: dict[tuple[str, str], tuple], heads: dict[str, list[tuple]], corpus: dict[str, int], every: int) -> None:
+        self.ids = {w: k for k, w in enumerate(sorted({*words, *heads, *(w for _, w in pairs)}), 1)}
+        size = len(self.ids) + 1
+        shared = np.full(size, 0.5)
+        for w, k in self.ids.items():
+            shared[k] += corpus.get(w, 0)
+        shared[0] += max(every - sum(corpus.get(w, 0) for w in self.ids), 0)
+        shared /= shared.sum()
+        own = np.zeros((2, size))
+        for w, n in words.items():
+            own[:, self.ids[w]] = n
+        self.p, self.g = np.zeros((2, size)), np.ones((2, size))
+        for y in (0, 1):
+            t, kept = total[y]
+            self.p[y] = np.maximum(own[y] - D, 0) / max(t, 1) + (1 - kept / max(t, 1)) * shared
+            for v, h in heads.items():
+                if h[y][0]:
+                    self.g[y, self.ids[v]] = 1 - h[y][1] / h[y][0]
+        keyed = sorted((self.ids[v] * size + self.ids[w], tuple(max(n[y] - D, 0) / heads[v][y][0] if n[y] > D else 0.0 for y in (0, 1))) for (v, w), n in pairs.items())
+        self.size, self.keys = size, np.array([k for k, _ in keyed] + [np.iinfo(np.int64).max])
+        self.kept = np.array([n for _, n in keyed] + [(0.0, 0.0)]).T
+        self.beta = [0.0, 0.0, 0.0]
+
+    def probabilities(self, v: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """P(w | v) of both classes for word ids."""
+        key = v * self.size + w
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.kept[:, at], 0.0) + self.g[:, v] * self.p[:, w]
 
     def features(self, text: str | None) -> list[float]:
-        w = tokens(text)
-        if not w:
-            return [0.0, 0.0, 0.0]
-        get, pair = self.words.get, self.pairs.get
-        r = np.array([get(x, 0.0) for x in w])
-        top = float(r.max())
-        if self.pairs:
-            for i, x in enumerate(map(pair, zip(w, w[1:], strict=False))):
-                if x is not None:
-                    r[i + 1] = x
-        n = min(WINDOW, len(r))
-        run = np.cumsum(np.r_[0.0, r])
-        return [float(r.mean()), float((run[n:] - run[:-n]).max() / n), top]
+        words = tokens(text)
+        if not words:
+            return [0.0, 0.0]
+        get = self.ids.get
+        w = np.fromiter((get(x, 0) for x in words), np.int64, len(words))
+        p = self.probabilities(np.r_[get("^", 0), w[:-1]], w)
+        run = np.cumsum(np.r_[0.0, np.log(p[1] / p[0])])
+        n = min(WINDOW, len(w))
+        return [float(run[-1] / len(w)), float((run[n:] - run[:-n]).max() / n)]
 
     def score(self, text: str | None) -> float:
-        z = float(np.dot(self.beta[:3], self.features(text)) + self.beta[3])
+        z = float(np.dot(self.beta[:2], self.features(text)) + self.beta[2])
         return 1 / (1 + math.exp(-min(max(z, -500), 500)))
 
 
-def ratios(uni: dict[int, dict[str, int]], counts: dict[int, dict[str, int]], corpus: dict[str, int]) -> Model:
-    """The two models as one table of log ratios, from the contexts of words (``uni``) and pairs (``counts``) and the corpus."""
-    total = {y: max(sum(uni[y].values()), 1) for y in uni}
-    vocabulary = sorted(set(uni[0]) | set(uni[1]))
-    size, every = max(len(vocabulary), 1), max(sum(corpus.get(w, 0) for w in vocabulary), 1)
-    gamma = min(1.0, 2 * D * size / (total[0] + total[1]))  # of the shared backoff, equal for both classes
-    p: dict[int, dict[str, float]] = {0: {}, 1: {}}
-    for w in vocabulary:
-        shared = gamma * ((1 - SHARED) / size + SHARED * corpus.get(w, 0) / every)
-        for y in p:
-            p[y][w] = max(uni[y].get(w, 0) - D, 0) / total[y] + shared
-    words = {w: math.log(p[1][w] / p[0][w]) for w in vocabulary}
-    broad = {w for w in vocabulary if uni[0].get(w, 0) + uni[1].get(w, 0) >= BROAD} | {"^"}
-    heads: dict[int, Counter] = {0: Counter(), 1: Counter()}
-    for y in heads:
-        for k, n in counts[y].items():
-            heads[y][k.split(" ")[0]] += n
-    kinds = Counter(k.split(" ")[0] for k in set(counts[0]) | set(counts[1]))
-    pairs = {}
-    for k in sorted(set(counts[0]) | set(counts[1])):
-        v, w = k.split(" ")
-        if v in broad and w in broad:
-            back = D * kinds[v] + PRIOR
-            q = [(max(counts[y].get(k, 0) - D, 0) + back * p[y][w]) / (heads[y][v] + back) for y in (0, 1)]
-            r = math.log(q[1] / q[0]) - math.log((heads[0][v] + back) / (heads[1][v] + back))
-            if r - words[w] >= TELLS:
-                pairs[v, w] = r
-    return Model(words, pairs)
+def _kept(rows: DataFrame, key: str) -> tuple[DataFrame, list]:
+    """Counts by class (n0, n1) of what exceeds D in a class, and aggregates of the total and the kept mass by class."""
+    wide = rows.groupBy(key).agg(*(F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)))
+    return wide.where(f"n0 > {D} or n1 > {D}"), [f(y) for y in (0, 1) for f in (lambda y: F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"t{y}"), lambda y: F.sum(F.when(F.col("y") == y, F.greatest(F.col("n") - D, F.lit(0.0))).otherwise(0.0)).alias(f"k{y}"))]
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
-    spark = docs.sparkSession
-    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
-    shares = {r.y: r.n for r in usable.groupBy(F.col("toxic").cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
-    picked = labelled(labels, "toxic", per_class, held_out())
-    part = F.conv(F.substring(F.md5(F.concat(F.lit("part:"), F.col("doc_id").cast("string"), F.lit(f":{SEED}"))), 1, 4), 16, 10).cast("int") % 4
-    rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").withColumn("part", part)  # 4 * per_class ids at most are broadcast
-    n = {y: shares.get(y, 0) for y in (0, 1)}
-    prior = math.log((n[1] + 0.5) / (n[0] + 0.5))
-    triples = in_batches(rows.where("part > 0").select("y", "text"), _triples, "y int, key string").distinct()
-    pairs = written(triples.groupBy("y", F.expr("substring(key, instr(key, ' ') + 1)").alias("key")).agg(F.count("*").alias("n")), "pairs")
-    contexts = pairs.groupBy("y", F.substring_index("key", " ", -1).alias("key")).agg(F.count("*").alias("n"))
-    uni: dict[int, dict[str, int]] = {0: {}, 1: {}}
-    counts: dict[int, dict[str, int]] = {0: {}, 1: {}}
-    by_class = [F.sum(F.when(F.col("y") == y, F.col("n")).otherwise(0)).alias(f"n{y}") for y in (0, 1)]
-    for rows_of, least, into in ((contexts, 2, uni), (pairs, 3, counts)):
-        for b in rows_of.groupBy("key").agg(*by_class).where(F.col("n0") + F.col("n1") >= least).toArrow().to_batches():  # bounded by the sample
-            for k, n0, n1 in zip(*(b.column(c).to_pylist() for c in ("key", "n0", "n1")), strict=True):
-                for y, n in ((0, n0), (1, n1)):
-                    if n:
-                        into[y][k] = n
-    vocabulary = spark.sparkContext.broadcast(frozenset(uni[0]) | frozenset(uni[1]))
+def count(rows: DataFrame, docs: DataFrame) -> Model:
+    """The model from labelled (y, text) rows and the shared counts of all ``docs``."""
+    triples = in_batches(rows.select("y", "text"), _triples, "y int, key string").distinct()
+    pairs = written(triples.groupBy("y", F.expr("substring(key, instr(key, ' ') + 1)").alias("key")).agg(F.count("*").alias("n")), "pairs").withColumns({"v": F.substring_index("key", " ", 1), "w": F.substring_index("key", " ", -1)})
+    contexts = written(pairs.groupBy("y", "w").agg(F.count("*").alias("n")), "contexts")
+    kept, sums = _kept(contexts, "w")
+    total = contexts.agg(*sums).first()
+    words = {w: n for b in kept.toArrow().to_batches() for w, n in zip(b.column(0).to_pylist(), zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True), strict=True)}  # bounded by the sample
+    kept, sums = _kept(pairs, "key")
+    told = {tuple(k.split(" ")): n for b in kept.toArrow().to_batches() for k, n in zip(b.column(0).to_pylist(), zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True), strict=True)}
+    heads = {r.v: [(r.t0, r.k0), (r.t1, r.k1)] for r in pairs.groupBy("v").agg(*sums).where("k0 > 0 or k1 > 0").collect()}
+    vocabulary = rows.sparkSession.sparkContext.broadcast(frozenset({*words, *heads, *(w for _, w in told)}))
 
     def shared_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
+        every = 0
         for b in batches:
             for t in b.column(0):
-                seen.update(vocabulary.value.intersection(tokens(t.as_py())))
-        if seen:
-            yield batch(_COUNT, [[0] * len(seen), list(seen), list(seen.values())])
+                own = set(tokens(t.as_py()))
+                every += len(own)
+                seen.update(vocabulary.value.intersection(own))
+        yield batch(_COUNT, [[*seen, " "], [*seen.values(), every]])
+
+    corpus = {k: n for b in in_batches(docs.select("text"), shared_counts, "key string, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow().to_batches() for k, n in zip(b.column("key").to_pylist(), b.column("n").to_pylist(), strict=True)}
+    return Model(words, [(total.t0 or 0, total.k0 or 0), (total.t1 or 0, total.k1 or 0)], told, heads, corpus, corpus.pop(" ", 0))
+
 
-    corpus: dict[str, int] = {}
-    for b in in_batches(docs.select("text"), shared_counts, "y int, key string, n long").groupBy("key").agg(F.sum("n").alias("n")).toArrow().to_batches():
-        corpus.update(zip(b.column("key").to_pylist(), b.column("n").to_pylist(), strict=True))
-    model = ratios(uni, counts, corpus)
-    shipped = spark.sparkContext.broadcast(model)
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> Model:
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    shares = {r.y: r.n for r in usable.groupBy(F.col("toxic").cast("int").alias("y")).agg(F.count("*").alias("n")).collect()}
+    n = {y: shares.get(y, 0) for y in (0, 1)}
+    prior = math.log((n[1] + 0.5) / (n[0] + 0.5))
+    part = F.conv(F.substring(F.md5(F.concat(F.lit("part:"), F.col("doc_id").cast("string"), F.lit(f":{SEED}"))), 1, 4), 16, 10).cast("int") % 4
+    rows = written(labelled_texts(docs, labels, "toxic", per_class, held_out()).withColumn("part", part), "labelled")
+    model = count(rows.where("part > 0"), docs)
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
 
     def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = [shipped.value.features(t.as_py()) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in f], pa.float64()) for k in range(3))], names=["y", "f0", "f1", "f2"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([x[k] for x in f], pa.float64()) for k in range(2))], names=["y", "f0", "f1"])
 
-    seen = in_batches(rows.where("part = 0").select("y", "text"), look, "y int, f0 double, f1 double, f2 double").toPandas()  # 4 * per_class rows at most
+    seen = in_batches(rows.where("part = 0").select("y", "text"), look, "y int, f0 double, f1 double").toPandas()  # 4 * per_class rows at most
     y = seen["y"].to_numpy()
     if len(set(y)) < 2:
-        model.words, model.pairs, model.beta = {}, {}, [0.0, 0.0, 0.0, prior if any(n.values()) else 0.0]
+        model.beta = [0.0, 0.0, prior]
         return model
-    order = np.lexsort(seen[["f0", "f1", "f2"]].to_numpy().T)
-    beta = logistic(seen[["f0", "f1", "f2"]].to_numpy()[order], y[order], l2=1e-3, balance=1.0)
-    model.beta = [float(max(b, 0)) for b in beta[:3]] + [float(beta[3]) + PRIOR_SHARE * prior]
+    x = seen[["f0", "f1"]].to_numpy()
+    order = np.lexsort(x.T)
+    beta = logistic(x[order], y[order], l2=1e-3, balance=1.0)
+    model.beta = [float(beta[0]), float(beta[1]), float(beta[2]) + PRIOR_SHARE * prior]
     return model
 
 
