@@ -56,13 +56,45 @@ def _quoted(pattern: str) -> str:
     return "r'" + pattern.replace("'", "\\'") + "'"
 
 
+_BLOCK, _CHUNK = 64, 1024
+
+
+def _let(value: str, name: str, body: str) -> str:
+    """``body`` with ``name`` for a value that is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
+
+
+def _scan(items: str, value: str, join: str, made: str, kind: str) -> str:
+    """The arrays ``made`` of every x of ``items`` end to end, where ``at`` is the ``join`` (of a and v) of the values before x.
+
+    Items are taken in blocks, whose values are joined first, so that no array is copied once an item: linear in the items."""
+    empty = f"cast(array() as array<{kind}>)"
+    total = f"aggregate(k, 0, (a, x) -> {join.format(a='a', v=value)})"
+    bases = f"aggregate(transform(blocks, k -> {total}), array(0), (a, x) -> array_append(a, {join.format(a='element_at(a, -1)', v='x')}))"
+    step = f"struct({join.format(a='a.at', v=value)} as at, concat(a.o, {made.format(at='a.at')}) as o)"
+    inner = f"flatten(transform(blocks, (k, i) -> aggregate(k, struct(bases[i] as at, {empty} as o), (a, x) -> {step}, a -> a.o)))"
+    blocks = f"transform(sequence(0, cast((size(every) - 1) div {_BLOCK} as int)), i -> slice(every, i * {_BLOCK} + 1, {_BLOCK}))"
+    return _let(items, "every", f"if(size(every) = 0, {empty}, {_let(blocks, 'blocks', _let(bases, 'bases', inner))})")
+
+
+def _chunks(text: str = "text") -> str:
+    """A text in chunks, so that a part far inside is found without counting from its start."""
+    return f"regexp_extract_all({text}, '(?s).{{1,{_CHUNK}}}+', 0)"
+
+
+def _part(a: str, b: str) -> str:
+    """Code points [a, b) of the text whose chunks are c."""
+    first, last = f"cast(({a}) div {_CHUNK} as int)", f"cast((({b}) - 1) div {_CHUNK} as int)"
+    return f"if(({b}) > ({a}), substring(array_join(slice(c, {first} + 1, {last} - {first} + 1), ''), cast(({a}) % {_CHUNK} as int) + 1, ({b}) - ({a})), '')"
+
+
 def _found(column: str, pattern: str) -> str:
     """SQL for array<struct<m, s, e>> of the matches in ``column`` (an array of strings) within text."""
     cut = f"split(text, {_quoted(pattern)}, -1)"
     step = f"zip_with({column}, transform(slice({cut}, 1, size({column})), p -> length(p)), (m, l) -> struct(m, l))"
-    empty = "cast(array() as array<struct<m: string, s: int, e: int>>)"
-    at = "a.at + x.l"
-    return f"if(size({column}) = 0, {empty}, aggregate({step}, struct(0 as at, {empty} as o), (a, x) -> struct({at} + length(x.m) as at, array_append(a.o, struct(x.m as m, {at} as s, {at} + length(x.m) as e)) as o), a -> a.o))"
+    kind = "struct<m: string, s: int, e: int>"
+    made = _scan(step, "x.l + length(x.m)", "{a} + {v}", "array(struct(x.m as m, {at} + x.l as s, {at} + x.l + length(x.m) as e))", kind)
+    return f"if(size({column}) = 0, cast(array() as array<{kind}>), {made})"
 
 
 _DIGITS = "regexp_replace(x.m, '[^0-9]', '')"
@@ -84,23 +116,28 @@ _GAZETTEER = {
 
 
 def _votes(kind: str, base: bool) -> str:
-    before = "lower(substring(text, greatest(x.s - 31, 1), x.s - greatest(x.s - 31, 1) + 1))"
+    before = f"lower({_part('greatest(x.s - 32, 0)', 'x.s')})"
     context = f"if({before} rlike '({CUES[kind]})[^a-z]*([a-z]+[^a-z]+)?$', 1, if({before} rlike '({AGAINST})[^a-z]*$', 2, 0))"
-    border = "if((x.s > 0 and substring(text, x.s, 1) rlike '[\\\\p{L}\\\\p{N}_]') or substring(text, x.e + 1, 1) rlike '[\\\\p{L}\\\\p{N}_]', 2, 1)"
+    border = f"if({_part('greatest(x.s - 1, 0)', 'x.s')} rlike '[\\\\p{{L}}\\\\p{{N}}_]' or {_part('x.e', 'x.e + 1')} rlike '[\\\\p{{L}}\\\\p{{N}}_]', 2, 1)"
     size = "if(length(x.m) < 12, 0, if(length(x.m) < 24, 1, 2))"
     return f"struct('{kind}' as kind, x.s as s, x.e as e, {base} as base, {int(base)} as strict, {_VALID[kind]} as valid, {_GAZETTEER[kind]} as gazetteer, {context} as context, {border} as border, {size} as size)".replace(f"{base} as base", f"{str(base).lower()} as base")
 
 
 def candidates(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """``keep`` columns and ``spans``: every candidate with its votes, base matches first."""
+    """``keep`` columns and ``spans``: every candidate with its votes, base matches first. Time is linear in a text and its matches."""
     x = docs.select(*(c for c in keep if c != "text"), F.coalesce("text", F.lit("")).alias("text"))
     x = x.select("*", *(F.expr(f"if({HINT[k]}, regexp_extract_all(text, {_quoted(BASE[k])}, 0), array())").alias(f"_m_{k}") for k in KINDS), *(F.expr(f"if({LOOSE_HINT[k]}, regexp_extract_all(text, {_quoted(LOOSE[k])}, 0), array())").alias(f"_l_{k}") for k in KINDS))
     x = x.select(*keep, *(["text"] if "text" not in keep else []), *(F.expr(f"filter({_found(f'_m_{k}', BASE[k])}, x -> {_PASSES[k]})").alias(f"_b_{k}") for k in KINDS), *(F.expr(f"filter({_found(f'_l_{k}', LOOSE[k])}, x -> {_WIDER[k]})").alias(f"_w_{k}") for k in KINDS))
-    taken = "concat(" + ", ".join(f"_b_{k}" for k in KINDS) + ")"
-    x = x.withColumn("_taken", F.expr(taken))
+    # A looser match goes if it meets a base match: in the order of base starts and loose ends, if a base match before ends after its start.
+    events = [f"transform(_b_{k}, x -> struct(x.s as p, 1 as base, x.s as s, x.e as e, '{k}' as kind, '' as m))" for k in KINDS] + [f"transform(_w_{k}, x -> struct(x.e as p, 0 as base, x.s as s, x.e as e, '{k}' as kind, x.m as m))" for k in KINDS]
+    loose = "struct<m: string, s: int, e: int, kind: string>"
+    free = _scan(f"array_sort(concat({', '.join(events)}))", "if(x.base = 1, x.e, 0)", "greatest({a}, {v})", f"if(x.base = 0 and {{at}} <= x.s, array(struct(x.m as m, x.s as s, x.e as e, x.kind as kind)), cast(array() as array<{loose}>))", loose)
+    none = " and ".join(f"size(_w_{k}) = 0" for k in KINDS)
+    x = x.withColumn("_free", F.expr(f"if({none}, cast(array() as array<{loose}>), {free})"))
     base = [f"transform(_b_{k}, x -> {_votes(k, True)})" for k in KINDS]
-    free = [f"transform(filter(_w_{k}, x -> not exists(_taken, t -> t.s < x.e and x.s < t.e)), x -> {_votes(k, False)})" for k in KINDS]
-    return x.select(*keep, F.expr("concat(" + ", ".join(base + free) + ")").alias("spans"))
+    more = [f"transform(filter(_free, x -> x.kind = '{k}'), x -> {_votes(k, False)})" for k in KINDS]
+    some = " + ".join(f"size(_b_{k})" for k in KINDS) + " + size(_free) > 0"
+    return x.select(*keep, F.expr(_let(f"if({some}, {_chunks()}, array())", "c", "concat(" + ", ".join(base + more) + ")")).alias("spans"))
 
 
 def estimate(patterns: list[tuple], rounds: int = 200) -> np.ndarray:
@@ -174,14 +211,14 @@ def op4_weak_supervision(docs: DataFrame) -> DataFrame:
 
 
 def mask(docs: DataFrame) -> DataFrame:
-    """``docs`` with every personal span of ``text`` replaced by its kind in brackets; null texts stay null."""
-    model = fit(written(candidates(docs, ["doc_id"]), "spans"))
+    """``docs`` with every personal span of ``text`` replaced by its kind in brackets (of spans that meet, the first one's); null texts stay null."""
     names = docs.columns
     inner = ["text" if c == "text" else f"_in_{k}" for k, c in enumerate(names)]  # clear of the columns that are made here
-    kept = candidates(docs.toDF(*inner).withColumn("_null", F.col("text").isNull()), [*inner, "_null"])
-    rows = decided(kept, model)
+    kept = written(candidates(docs.toDF(*inner).withColumn("_null", F.col("text").isNull()), [*inner, "_null"]), "spans")  # texts are searched once
+    rows = decided(kept, fit(kept))
     order = "array_sort(transform(spans, x -> struct(x.s as s, x.e as e, x.kind as kind)))"
-    step = "case when x.s >= a.at then struct(x.e as at, concat(a.o, substring(text, a.at + 1, x.s - a.at), '[', upper(x.kind), ']') as o) else struct(greatest(a.at, x.e) as at, a.o as o) end"
-    masked = f"if(size(spans) = 0, text, aggregate({order}, struct(0 as at, '' as o), (a, x) -> {step}, a -> concat(a.o, substring(text, a.at + 1))))"
-    rows = rows.withColumn("text", F.expr(f"if(_null, null, {masked})"))
-    return rows.select(*inner).toDF(*names)
+    made = "if(x.s >= {at}, array(concat(" + _part("{at}", "x.s") + ", '[', upper(x.kind), ']')), cast(array() as array<string>))"
+    pieces = _scan(order, "x.e", "greatest({a}, {v})", made, "string")
+    rest = _part("array_max(transform(spans, x -> x.e))", "length(text)")
+    masked = _let(_chunks(), "c", f"concat(array_join({pieces}, ''), {rest})")
+    return rows.withColumn("text", F.expr(f"case when _null then null when size(spans) = 0 then text else {masked} end")).select(*inner).toDF(*names)
