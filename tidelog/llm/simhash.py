@@ -55,15 +55,17 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """(doc_id, fp): fp holds the fingerprint's bits as a signed long."""
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, fp) and long columns to ``keep``: fp holds the fingerprint's bits as a signed long."""
+    more = keep or []
+    schema = pa.schema([*_FP, *((c, pa.int64()) for c in more)])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             f = np.array([fingerprint(t.as_py(), shingle) for t in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f)], schema=_FP)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(f), *b.columns[2:]], schema=schema)
 
-    return in_batches(docs.select(F.col("doc_id").cast("long"), "text"), work, "doc_id long, fp long")
+    return in_batches(docs.select(F.col("doc_id").cast("long"), "text", *more), work, ", ".join(f"{c} long" for c in schema.names))
 
 
 def masks(radius: int = RADIUS, seed: int = SEED) -> list[int]:
@@ -181,27 +183,36 @@ def links(distinct: DataFrame, radius: int = RADIUS, most: int = BUCKET) -> Data
     return near
 
 
-def components(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``fps`` (doc_id, fp; a stored table) with component_id."""
+def named(fps: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(fp, component, component_id) of every distinct fingerprint of ``fps`` (doc_id, fp; a stored table): the component's smallest fingerprint and doc_id."""
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "distinct")
     cc = connected_components(links(distinct, radius), "simhash")
     linked = written(cc.withColumnRenamed("node", "fp").join(distinct, "fp"), "linked")
     least = linked.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = linked.join(least, "component").select("fp", "component_id")
-    every = distinct.join(named, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id"))
-    return fps.join(every, "fp")
+    found = linked.join(least, "component").select("fp", "component", "component_id")
+    return distinct.join(found, "fp", "left").select("fp", F.coalesce("component", "fp").alias("component"), F.when(F.col("component").isNull(), F.col("rep")).otherwise(F.col("component_id")).alias("component_id"))
 
 
 def op7_simhash(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    found = components(written(fingerprints(docs), "fps"), radius)
+    fps = written(fingerprints(docs), "fps")
+    found = fps.join(named(fps, radius), "fp")
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` without near-duplicates: of each component one row with its smallest doc_id stays. Rows without a doc_id stay."""
-    found = written(components(written(fingerprints(docs), "fps"), radius), "kept")
-    stay = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("n"))
-    rows = docs.join(stay.select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    if not stay.where("n > 1").isEmpty():
-        rows = rows.dropDuplicates(["doc_id"])
-    return rows if found.where("doc_id is null").isEmpty() else rows.unionByName(docs.where("doc_id is null"))
+    """``docs`` without near-duplicates: of each component one row stays, that with the smallest doc_id (null last).
+
+    Rows are told apart by doc_id and a hash of all their columns, so that rows which share a doc_id but not a text
+    are kept or dropped each for itself; of wholly equal rows one stays."""
+    names = docs.columns
+    inner = [c if c in ("doc_id", "text") else f"_in_{k}" for k, c in enumerate(names)]  # clear of the columns that are made here
+    rows = docs.toDF(*inner).withColumn("_row", F.xxhash64(*inner))
+    fps = written(fingerprints(rows, keep=["_row"]), "fps")
+    order = F.struct(F.col("doc_id").isNull().alias("n"), "doc_id", "_row")
+    stay = fps.join(named(fps, radius), "fp").groupBy("component").agg(F.min(order).alias("m"), F.count("*").alias("k")).select("m.doc_id", "m._row", "k")
+    stay = written(stay, "kept")
+    same = (rows["_row"] == stay["_row"]) & rows["doc_id"].eqNullSafe(stay["doc_id"])
+    few = rows.join(stay.select("doc_id", "_row"), same, "left_semi")
+    if not stay.where("k > 1").isEmpty():  # a row that stays may have equals
+        few = few.dropDuplicates(["doc_id", "_row"])
+    return few.select(*inner).toDF(*names)
