@@ -44,36 +44,43 @@ def targets(sizes: DataFrame, share: float = SHARE, epochs: float = EPOCHS, weig
     return x.select("source", "source_size", F.when(F.col("stops") == 1, F.col("cap")).otherwise(F.col("weight") * level).alias("target"))
 
 
-def _border(rows: DataFrame, keys: list[str], bucket: str) -> DataFrame:
-    """For each of ``keys`` (null-safe ``source`` among them): the bucket in which the words before reach ``part``, and those before it."""
-    sums = rows.groupBy(*keys, "part", bucket).agg(F.sum("size").alias("_n"))
+def _source() -> Column:
+    """A source as a join key; null is one of its own."""
+    return F.struct(F.coalesce("source", F.lit("")).alias("name"), F.col("source").isNull().alias("none"))
+
+
+def _border(sums: DataFrame, keys: list[str], bucket: str) -> DataFrame:
+    """``sums`` (keys, bucket, _n, part) with what stands before a bucket, and whether ``part`` ends in it."""
     before = F.coalesce(F.sum("_n").over(Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    found = sums.withColumn("_before", before).where((F.col("_before") <= F.col("part")) & (F.col("_before") + F.col("_n") > F.col("part")))
-    return found.select(*keys, F.col(bucket).alias("_border"), "_before")
+    return sums.withColumn("_before", before).withColumn("_border", (F.col("_before") <= F.col("part")) & (F.col("_before") + F.col("_n") > F.col("part")))
 
 
-def mix(docs: DataFrame, seed: str = SEED, **shares) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, repeats): repeats is taken as whole documents, the border one rounded."""
-    base = written(docs.select("doc_id", "source", words().alias("size")).withColumn("h", F.md5(F.concat_ws("\x1f", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))), "sizes")
-    goal = targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), **shares)
+def mix(docs: DataFrame, seed: str = SEED, carry: list[str] | None = None, **shares) -> DataFrame:
+    """(doc_id, source, size, source_size, target, taken, repeats) and the columns to ``carry``: repeats is taken as whole documents, the border one rounded.
+
+    Rows meet what is planned for their source by (source, first hash byte), which deals a hot source over 256 keys; the plan has at most
+    256 rows a source."""
+    digest = F.md5(F.concat_ws("\x1f", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("size").cast("string")))
+    base = docs.select("doc_id", "source", words().alias("size"), *(carry or [])).withColumn("h", digest)
+    base = written(base, "sizes").withColumns({"_s": _source(), "b1": F.substring("h", 1, 2), "b2": F.substring("h", 3, 2)})
+    sums = written(base.groupBy("source", "b1").agg(F.sum("size").alias("_n")), "sums")
+    goal = targets(sums.groupBy("source").agg(F.sum("_n").alias("source_size")), **shares)
     goal = goal.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     goal = goal.withColumn("part", F.round(F.col("target") - F.col("whole") * F.col("source_size")).cast("long"))
-    goal = written(goal, "targets").withColumn("_s", F.struct(F.coalesce("source", F.lit("")), F.col("source").isNull()))
-    rows = base.withColumn("_s", F.struct(F.coalesce("source", F.lit("")), F.col("source").isNull())).join(goal.drop("source"), "_s")
-    rows = rows.withColumn("b1", F.substring("h", 1, 2)).withColumn("b2", F.substring("h", 3, 2))
-    one = _border(rows, ["_s"], "b1")
-    x = rows.join(one.withColumnsRenamed({"_border": "c1", "_before": "n1"}), "_s", "left")
-    inside = x.where("b1 = c1").select("_s", "b2", "size", (F.col("part") - F.col("n1")).alias("part"))
-    two = _border(inside, ["_s"], "b2")
-    x = x.join(two.withColumnsRenamed({"_border": "c2", "_before": "n2"}), "_s", "left")
-    last = (F.col("b1") == F.col("c1")) & (F.col("b2") == F.col("c2"))
-    x = x.withColumn("_last", F.coalesce(last, F.lit(False)))
-    sure = F.when(F.col("c1").isNull() | (F.col("b1") < F.col("c1")) | ((F.col("b1") == F.col("c1")) & (F.col("b2") < F.col("c2"))), F.col("size")).otherwise(F.lit(0))
-    far = x.where("not _last").withColumn("extra", sure)
+    goal = written(goal, "targets").withColumn("_s", _source()).drop("source")
+    one = _border(sums.withColumn("_s", _source()).drop("source").join(goal, "_s"), ["_s"], "b1")
+    rest = one.where("_border").select("_s", "b1", (F.col("part") - F.col("_before")).alias("part"))
+    inside = base.join(rest, ["_s", "b1"]).groupBy("_s", "b1", "b2", "part").agg(F.sum("size").alias("_n"))
+    two = _border(inside, ["_s", "b1"], "b2").where("_border").select("_s", "b1", F.col("b2").alias("c2"), (F.col("part") - F.col("_before")).alias("left"))
+    plan = written(one.drop("_n").join(two, ["_s", "b1"], "left"), "plan")
+    x = base.join(plan, ["_s", "b1"])
+    last = F.coalesce(F.col("b2") == F.col("c2"), F.lit(False))
+    sure = (~F.col("_border") & (F.col("_before") < F.col("part"))) | F.coalesce(F.col("_border") & (F.col("b2") < F.col("c2")), F.lit(False))
+    far = x.where(~last).withColumn("extra", F.when(sure, F.col("size")).otherwise(F.lit(0)))
     run = F.coalesce(F.sum("size").over(Window.partitionBy("_s").orderBy("h", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    near = x.where("_last").withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("part") - F.col("n1") - F.col("n2") - run)))
-    both = far.unionByName(near)
-    return both.select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), (F.col("whole") + (2 * F.col("extra") >= F.greatest("size", F.lit(1))).cast("long")).alias("repeats"), "h")
+    near = x.where(last).withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("left") - run)))
+    repeats = F.col("whole") + (2 * F.col("extra") >= F.greatest("size", F.lit(1))).cast("long")
+    return far.unionByName(near).select("doc_id", "source", "size", "source_size", "target", (F.col("whole") * F.col("size") + F.col("extra")).cast("long").alias("taken"), repeats.alias("repeats"), *(carry or []))
 
 
 def op5_water_filling(docs: DataFrame) -> DataFrame:
@@ -81,12 +88,9 @@ def op5_water_filling(docs: DataFrame) -> DataFrame:
 
 
 def mix_rows(docs: DataFrame, **shares) -> DataFrame:
-    """``docs`` with each row as often as the mix repeats it (whole documents); columns as before.
-
-    A row is found again by doc_id and size; rows without a doc_id are matched as one id."""
-    names, seed = docs.columns, shares.get("seed", SEED)
+    """``docs`` with each row as often as the mix repeats it (whole documents); columns as before. Every row is decided by itself, whatever its doc_id."""
+    names = docs.columns
     inner = [c if c in ("doc_id", "text", "source") else f"_in_{k}" for k, c in enumerate(names)]  # clear of the columns that are made here
     rows = docs.toDF(*inner)
-    n = mix(rows, **shares).where("repeats > 0").groupBy("h").agg(F.max("repeats").alias("repeats"))
-    keyed = rows.withColumn("h", F.md5(F.concat_ws("\x1f", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), words().cast("string"))))
-    return keyed.join(n, "h").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*inner).toDF(*names)
+    found = mix(rows, carry=[c for c in inner if c not in ("doc_id", "source")], **shares).where("repeats > 0")
+    return found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats")))).select(*inner).toDF(*names)
