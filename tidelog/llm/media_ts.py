@@ -8,7 +8,8 @@ any elementary stream, and returns their time stamps and random-access points.
 
 Edge cases: a null or empty text becomes one padded unit of 255s; a null media value gives no
 packets; repeated rows give equal values; other columns of the input are ignored. All work is
-row by row, so nothing is shuffled and a hot source or copy group costs its own rows only.
+row by row, so nothing is shuffled and a hot source or copy group costs its own rows only. Columns of the input that
+are named as a result are ignored like any other; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass, field
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import batch, in_batches
+from .common import batch, in_batches, written
 
 UNIT = 576  # samples of one frame
 RATE = 8000  # samples a second
@@ -278,7 +279,7 @@ def encode_media(docs: DataFrame) -> DataFrame:
     return in_batches(docs.select("doc_id", "text"), _encode, "doc_id long, n_bytes long, media binary")
 
 
-_FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("cc_errors", pa.int64()), ("n_random_access", pa.int64())])
+_FEATURES = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("payload_bytes", pa.int64()), ("payload_sha256", pa.string()), ("tail_crc32", pa.int64()), ("media_bytes", pa.int64()), ("media_sha256", pa.string()), ("feature", pa.string()), ("cc_errors", pa.int64()), ("n_random_access", pa.int64()), ("access_points", pa.list_(pa.struct([("pts", pa.int64()), ("es_offset", pa.int64())])))])
 
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,14 +289,14 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             media = m.as_py() or b""
             s = demux(media)
             payload = s.data.get(ES_PID, b"")
-            for c, v in zip(rows, (i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(s), sum(s.cc_errors.values()), sum(p.random_access for p in s.pes)), strict=True):
+            for c, v in zip(rows, (i, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(s), sum(s.cc_errors.values()), sum(p.random_access for p in s.pes), [{"pts": p.pts, "es_offset": p.offset} for p in s.pes if p.random_access]), strict=True):
                 c.append(v)
         yield batch(_FEATURES, rows)
 
 
 def media_features(media: DataFrame) -> DataFrame:
     """Read the stored bytes back: one row per document with its payload's digests and the stream's features."""
-    return in_batches(media.select("doc_id", "n_bytes", "media"), _features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, cc_errors long, n_random_access long")
+    return in_batches(media.select("doc_id", "n_bytes", "media"), _features, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, cc_errors long, n_random_access long, access_points array<struct<pts: long, es_offset: long>>")
 
 
 _INDEX = pa.schema([("doc_id", pa.int64()), ("program", pa.int32()), ("pid", pa.int32()), ("stream_type", pa.int32()), ("pes", pa.int64()), ("pts", pa.int64()), ("dts", pa.int64()), ("random_access", pa.bool_()), ("es_offset", pa.int64()), ("es_length", pa.int64())])
@@ -319,4 +320,5 @@ def pes_index(media: DataFrame) -> DataFrame:
 
 
 def op1_transport_stream(docs: DataFrame) -> DataFrame:
-    return media_features(encode_media(docs))
+    """The media column is written to the shared folder, and everything that is returned comes from the bytes read back."""
+    return media_features(written(encode_media(docs), "media", compression="zstd"))
