@@ -37,7 +37,7 @@ class Capacity:
     tokens: int = SEQUENCE
     documents: int = SEQUENCE
     attention: int = SEQUENCE * SEQUENCE
-    weights: tuple[float, float, float] = (1.0, 0.0, 0.0)
+    weights: tuple[float, float, float] = (1.0, 0.25, 0.5)
     score: str = "norm"  # residual norm after the piece (least), or "dot": demand times residual (least that fits)
 
 
