@@ -1,20 +1,22 @@
 """Substring dedup by hashing lines, the sentences within them, and overlapping stretches of words.
 
-A unit is normalised (lower case, runs of white space as one blank), hashed (lines and sentences by XXH3 to 128 bits, stretches of words to 64) and grouped over all
-documents; the occurrence with the smallest (doc_id, offset) stays. There are three kinds:
+A unit is normalised (lower case, runs of white space as one blank), hashed and grouped over all documents; the occurrence with
+the smallest (doc_id, offset) stays. There are three kinds:
 
-* a whole line of at least ``UNIT_WORDS`` words goes in every other place;
-* a sentence of a line (a line without sentence ends is one sentence) goes if it stands in a run of repeated sentences
-  (shorter ones between them included) of at least ``RUN_WORDS`` words, so a phrase that two clean texts share by chance stays;
-* a stretch of ``STRETCH`` words or a few more, from an anchor to an anchor, goes if it and the repeated stretches that it
-  overlaps have at least ``RUN_WORDS`` words. Anchors are chosen by the words alone: of any ``GAP`` neighbouring pairs of
-  words, the one with the least hash is an anchor. So equal passages have equal anchors wherever they start in a sentence, and
-  a passage of ``STRETCH + 3 * GAP`` words (below 50) always holds a whole stretch; at each end fewer than ``GAP + 1`` words stay, beyond what its lines and sentences remove.
+* a whole line of at least ``UNIT_WORDS`` words goes in every other place (a shorter one is too common to tell a repeat from chance);
+* a sentence of a line goes if it stands in a run of repeated sentences (shorter ones between them included) of at least
+  ``RUN_WORDS`` words, so a phrase that two clean texts share by chance stays;
+* a stretch of ``STRETCH`` words or a few more, from an anchor to an anchor, goes in every other place. Anchors are chosen by the
+  words alone: of any ``GAP`` neighbouring pairs of words, the one with the least hash is an anchor. So equal passages have
+  equal anchors wherever they start in a sentence, and a passage of ``STRETCH + 3 * GAP`` words (below 50) always holds a whole
+  stretch; at each end fewer than ``GAP + 1`` words stay, beyond what its lines and sentences remove.
 
-A removed span takes the white space after it; what is kept keeps its original offsets.
+Digests have 64 bits. A line has two, and both must be repeated; a sentence needs its run; of single stretches about one in ten
+million would go by chance at 10^13 units, none at 10^9. A removed span takes the white space after it; what is kept keeps its original offsets.
 
-Only (digest, doc_id) pairs are shuffled for the grouping, distinct within a document and pre-aggregated, then the
-repeated digests of each document meet its text.
+Texts are cut into words by array operations over whole batches. Only distinct (digest, doc_id) pairs are shuffled; the counts of
+a digest merge before their shuffle, the join that tells documents of their repeats is one that Spark splits for a hot
+digest, and the repeats of one document meet its text.
 
 Edge cases: null and empty texts have no units (a null text stays null); rows with equal doc_id count as one document,
 so they keep the same units; a document without doc_id neither counts nor changes; extra columns are ignored. Where a text
@@ -23,8 +25,8 @@ repeats a stretch that overlaps itself (one word over and over), what the first
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -32,33 +34,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import batch, in_batches
+from .common import in_batches
 
-UNIT_WORDS, RUN_WORDS = 4, 20
-STRETCH, GAP = 16, 8  # words of a stretch at least; pairs of words of which one is an anchor
-_CUT = re.compile(r"(?<=[.!?])\s+|\s*\n\s*")
+UNIT_WORDS, RUN_WORDS, STRETCH, GAP = 4, 20, 16, 11
+CHARS = 1 << 20  # of the texts that one array operation takes; a longer text is taken alone
 _SPACE = np.zeros(0x3002, bool)
 _SPACE[[c for c in range(0x3001) if chr(c).isspace()]] = True
-
-
-def sentences(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, words) of every sentence; offsets are code points."""
-    at = 0
-    for m in _CUT.finditer(text):
-        if m.start() > at and (w := text[at : m.start()].lower().split()):
-            yield at, m.start(), w
-        at = max(at, m.end())
-    if at < len(text) and (w := text[at:].lower().split()):
-        yield at, len(text), w
-
-
-def lines(text: str) -> Iterator[tuple[int, int, list[str]]]:
-    """(start, end, words) of every line without the white space around it; a break before the words sets it apart from a sentence."""
-    at = 0
-    for part in text.split("\n"):
-        if w := part.lower().split():
-            yield at + len(part) - len(part.lstrip()), at + len(part.rstrip()), ["\n", *w]
-        at += len(part) + 1
+_STOPS = np.zeros(0x3002, bool)
+_STOPS[[ord(c) for c in ".!?"]] = True
+LINE, SENTENCE, STRETCHED = 0, 1, 2
+_KINDS = np.array([0x5851F42D4C957F2D, 0x27BB2EE687B0B0FD, 0x14057B7EF767814F], np.uint64)
 
 
 class _Hashes(dict):
@@ -72,151 +57,154 @@ class _Hashes(dict):
 
 
 _HASHES = _Hashes()
-_BASE = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
-_UP = _DOWN = np.ones(1, np.uint64)  # its powers and its inverse's
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _UP, _DOWN
-    if len(_UP) < n:
-        _UP, _DOWN = (np.cumprod(np.r_[np.uint64(1), np.full(2 * n, x, np.uint64)]) for x in (_BASE, pow(_BASE, -1, 1 << 64)))
-    return _UP[:n], _DOWN[:n]
-
-
-def stretches(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends, numbers of words and 64-bit digests of the stretches between anchors, by their start."""
-    words = text.lower().split()
-    n = len(words)
-    if n <= STRETCH or n <= GAP:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),)
-    h = np.fromiter(map(_HASHES.__getitem__, words), np.uint64, n)
-    pair = (h[:-1] ^ h[:-1] >> np.uint64(29)) * np.uint64(_BASE) + h[1:]
-    m = n - GAP  # windows of GAP pairs
-    least, at = pair[:m].copy(), np.arange(m)
-    for k in range(1, GAP):
-        less = pair[k : k + m] < least
-        np.copyto(least, pair[k : k + m], where=less)
-        np.copyto(at, np.arange(k, k + m), where=less)
-    chosen = np.zeros(n, bool)
-    chosen[at] = True
-    anchors = np.flatnonzero(chosen)
-    until = np.searchsorted(anchors, anchors + STRETCH)
-    whole = until < len(anchors)
-    a, z = anchors[whole], anchors[until[whole]] + 1  # an anchor is the first word of its pair
-    up, down = _powers(n)
-    sums = np.r_[np.uint64(0), np.cumsum(h * up)]
-    d = (sums[z] - sums[a]) * down[a]
-    d ^= d >> np.uint64(32)
-    code = np.frombuffer(text.encode(), np.uint8) if text.isascii() else np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 0x3001)
+_BASES = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)  # odd, so that they have inverses
+_POWERS: list[tuple[np.ndarray, np.ndarray]] = [(np.ones(1, np.uint64),) * 2] * 2  # their powers and their inverses'
+
+
+def _powers(k: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    if len(_POWERS[k][0]) < n:
+        _POWERS[k] = tuple(np.cumprod(np.r_[np.uint64(1), np.full(2 * n, x, np.uint64)]) for x in (_BASES[k], pow(_BASES[k], -1, 1 << 64)))
+    return _POWERS[k][0][:n], _POWERS[k][1][:n]
+
+
+def _sliding(x: np.ndarray, width: int, best) -> np.ndarray:
+    """The best of every ``width`` neighbours."""
+    have = 1
+    while 2 * have <= width:
+        x = best(x[: len(x) - have], x[have:])
+        have *= 2
+    rest = width - have
+    return best(x[: len(x) - rest], x[rest:]) if rest else x
+
+
+@dataclass
+class Units:
+    """The units of some texts: which text, kind, number of words, first and last place there (code points), digest, and a line's other digest."""
+
+    doc: np.ndarray
+    kind: np.ndarray
+    words: np.ndarray
+    start: np.ndarray
+    end: np.ndarray
+    digest: np.ndarray
+    other: np.ndarray
+    following: np.ndarray  # where the word after a unit starts, or the text ends
+    lines: np.ndarray  # of each text, the lines with words
+
+
+def units(texts: list[str], unit_words: int = UNIT_WORDS) -> Units:
+    """Lines, sentences, then stretches, each by their place."""
+    big = "\n".join(texts)
+    first = np.cumsum([0, *(len(t) + 1 for t in texts)])  # where every text starts in the whole
+    code = np.frombuffer(big.encode(), np.uint8) if big.isascii() else np.minimum(np.frombuffer(big.encode("utf-32-le"), np.uint32), 0x3001)
     edge = np.flatnonzero(np.diff(_SPACE[code], prepend=True, append=True))
-    return edge[0::2][a], edge[1::2][z - 1], z - a, d
-
-
-class Stretch:
-    """Stands for a stretch's words: their number and digest."""
-
-    def __init__(self, words: int, digest: bytes) -> None:
-        self.words, self.digest = words, digest
-
-    def __len__(self) -> int:
-        return self.words
-
-
-def _bytes(digests: np.ndarray) -> list[bytes]:
-    raw, rest = digests.astype("<u8").tobytes(), bytes(8)
-    return [raw[i : i + 8] + rest for i in range(0, len(raw), 8)]
-
-
-def units(text: str) -> Iterator[tuple[int, int, list[str] | Stretch]]:
-    """(start, end, words) of every unit: sentences, lines, then stretches, each by their start."""
-    yield from sentences(text)
-    yield from lines(text)
-    starts, ends, words, digests = stretches(text)
-    for a, b, n, d in zip(starts.tolist(), ends.tolist(), words.tolist(), _bytes(digests), strict=True):
-        yield a, b, Stretch(n, d)
-
-
-def digest(words: list[str] | Stretch) -> bytes:
-    return words.digest if isinstance(words, Stretch) else xxhash.xxh3_128_digest(" ".join(words).encode())
-
-
-_KEYS = pa.schema([("d1", pa.int64()), ("d2", pa.int64()), ("doc_id", pa.int64())])
-
-
-def _emit(least: int):
+    starts, ends = edge[0::2], edge[1::2]
+    n = len(starts)
+    h = np.fromiter(map(_HASHES.__getitem__, big.lower().split()), np.uint64, n)
+    doc = np.searchsorted(first, starts, "right") - 1
+    line = np.searchsorted(np.flatnonzero(code == 10), starts)
+    opens = np.diff(line, prepend=-1) != 0
+    a = np.flatnonzero(opens)
+    counted = np.bincount(doc[a], minlength=len(texts))
+    begins, until, kinds = [], [], []
+    stops = np.r_[False, _STOPS[code[ends - 1]]][:n]  # the word before ends a sentence
+    for kind, a in ((LINE, a), (SENTENCE, np.flatnonzero(opens | stops))):
+        z = np.r_[a[1:], n][: len(a)]
+        told = z - a >= unit_words
+        begins.append(a[told]), until.append(z[told]), kinds.append(np.full(int(told.sum()), kind))
+    if n > GAP:
+        pair = (h[:-1] ^ h[:-1] >> np.uint64(29)) * np.uint64(_BASES[0]) + h[1:]
+        least = _sliding(pair, GAP, np.minimum)
+        least[doc[: len(least)] != doc[GAP:]] = 0  # windows that leave a text choose none
+        edges = np.zeros(GAP - 1, np.uint64)
+        anchors = np.flatnonzero((_sliding(np.r_[edges, least, edges], GAP, np.maximum) == pair) & (pair > 0))
+        after = np.searchsorted(anchors, anchors + STRETCH)
+        whole = after < len(anchors)
+        b, e = anchors[whole], anchors[after[whole]]
+        own = doc[b] == doc[e]
+        begins.append(b[own]), until.append(e[own] + 1), kinds.append(np.full(int(own.sum()), STRETCHED))
+    a, z, kind = (np.concatenate(x).astype(np.int64) for x in (begins, until, kinds))
+    found = []
+    for k, mixed in enumerate((h, (h ^ h >> np.uint64(31)) * _KINDS[0])):
+        some = slice(None) if not k else slice(0, len(begins[0]))  # the other digest is for lines
+        up, down = _powers(k, n + 1)
+        sums = np.r_[np.uint64(0), np.cumsum(mixed * up[:n])]
+        d = (sums[z[some]] - sums[a[some]]) * down[a[some]] + _KINDS[kind[some]] + (z - a)[some].astype(np.uint64)
+        found.append((d ^ d >> np.uint64(32)).view(np.int64))
+    d = doc[a]
+    after = np.minimum(np.r_[starts, len(big)][z], first[d + 1] - 1)
+    return Units(d, kind, z - a, starts[a] - first[d], ends[z - 1] - first[d], *found, after - first[d], counted)
+
+
+def _chunks(texts: list[str]) -> Iterator[tuple[int, int]]:
+    at = held = 0
+    for k, t in enumerate(texts):
+        if held and held + len(t) > CHARS:
+            yield at, k
+            at, held = k, 0
+        held += len(t) + 1
+    if at < len(texts):
+        yield at, len(texts)
+
+
+_KEYS = pa.schema([("digest", pa.int64()), ("doc_id", pa.int64())])
+
+
+def _emit(unit_words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, found = [], []
-            for i, t in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-                own: set[bytes] = set()
-                if i is not None:
-                    text = t.as_py() or ""
-                    own.update(digest(w) for _, _, w in sentences(text) if len(w) >= least)
-                    own.update(digest(w) for _, _, w in lines(text) if len(w) > least)
-                    own.update(_bytes(stretches(text)[3]))
-                ids.append(np.full(len(own), i or 0, np.int64))
-                found.extend(own)
-            d = np.frombuffer(b"".join(found), np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(d[:, 0])), pa.array(np.ascontiguousarray(d[:, 1])), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int64))], schema=_KEYS)
+            ids, texts = b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_pylist()
+            for p, q in _chunks(texts):
+                u = units(texts[p:q], unit_words)
+                doc, d = np.r_[u.doc, u.doc[: len(u.other)]], np.r_[u.digest, u.other]
+                order = np.lexsort((d, doc))
+                doc, d = doc[order], d[order]
+                new = np.ones(len(doc), bool)
+                new[1:] = (doc[1:] != doc[:-1]) | (d[1:] != d[:-1])
+                yield pa.RecordBatch.from_arrays([pa.array(d[new]), pa.array(ids[p:q][doc[new]])], schema=_KEYS)
 
     return work
 
 
-def removals(text: str, repeated: set[bytes], unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS) -> tuple[int, list[tuple[int, int]]]:
-    """The number of sentences and the spans to remove, given the digests that an earlier document holds."""
-    own, spans, n = set(), [], 0
-    run: list[tuple[int, int]] = []  # start of the run and end of its last repeated sentence
-    words = 0
-    covered: list[tuple[int, int]] = []  # by repeated stretches; they overlap
-
-    def close() -> None:
-        nonlocal run, words
-        if run and words >= run_words:
-            spans.append((run[0][0], run[-1][1]))
-        run, words = [], 0
-
-    for a, b, w in sentences(text):
-        n += 1
-        if len(w) < unit_words:
-            continue  # too short to tell: part of a run if repeated sentences follow
-        d = digest(w)
-        if d in repeated or d in own:
-            run.append((a, b))
-            words += len(w)
-        else:
-            close()
-        own.add(d)
-    close()
-    for a, b, w in lines(text):
-        if len(w) > unit_words:
-            d = digest(w)
-            if d in repeated or d in own:
-                spans.append((a, b))
-            own.add(d)
-    first: dict[bytes, int] = {}  # where a stretch ends first in this text
-    starts, ends, _, digests = stretches(text)
-    for a, b, d in zip(starts.tolist(), ends.tolist(), _bytes(digests), strict=True):
-        if d not in repeated:
-            until = first.setdefault(d, b)
-            if until == b:
-                continue
-            a = max(a, until)
-        if covered and a <= covered[-1][1]:
-            covered[-1] = (min(covered[-1][0], a), max(covered[-1][1], b))
+def _of(doc: np.ndarray, digest: np.ndarray) -> np.ndarray:
+    """A digest within a text of the batch."""
+    return digest.astype(np.int64).view(np.uint64) ^ doc.astype(np.uint64) * np.uint64(_BASES[1])
+
+
+def removals(texts: list[str], doc: np.ndarray, digest: np.ndarray, unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS) -> tuple[np.ndarray, list[list[tuple[int, int]]]]:
+    """The lines of each text and the spans to remove, given (doc, digest): what of each text an earlier document holds."""
+    u = units(texts, unit_words)
+    known, own = _of(doc, digest), _of(u.doc, u.digest)
+    before = np.isin(own, known)
+    n = len(u.other)
+    before[:n] &= np.isin(_of(u.doc[:n], u.other), known)
+    order = np.lexsort((u.start, own))
+    same = np.zeros(len(order), bool)
+    same[1:] = own[order][1:] == own[order][:-1]
+    lead = order[np.maximum.accumulate(np.where(same, 0, np.arange(len(order))))] if len(order) else order
+    again, firsts = np.zeros(len(order), bool), np.zeros(len(order), np.int64)
+    again[order], firsts[order] = same, lead
+    goes = before | again
+    start = np.where(before, u.start, np.where(again, np.maximum(u.start, u.following[firsts]), u.start))
+    # Sentences: runs of those that go, within a text, and of enough words.
+    s = np.flatnonzero(u.kind == SENTENCE)
+    new = np.ones(len(s), bool)
+    new[1:] = (u.doc[s][1:] != u.doc[s][:-1]) | (goes[s][1:] != goes[s][:-1])
+    at = np.flatnonzero(new)
+    last = np.r_[at[1:], len(s)][: len(at)] - 1
+    long = goes[s][at] & (np.add.reduceat(u.words[s], at) >= run_words) if len(at) else np.zeros(0, bool)
+    whole = np.flatnonzero(goes & (u.kind != SENTENCE) & (start < u.following))
+    docs = np.r_[u.doc[whole], u.doc[s[at[long]]]]
+    a, z = np.r_[start[whole], u.start[s[at[long]]]], np.r_[u.following[whole], u.following[s[last[long]]]]
+    spans: list[list[tuple[int, int]]] = [[] for _ in texts]
+    order = np.lexsort((z, a, docs))
+    for i, a, z in zip(docs[order].tolist(), a[order].tolist(), z[order].tolist(), strict=True):
+        held = spans[i]
+        if held and a <= held[-1][1]:
+            held[-1] = (held[-1][0], max(held[-1][1], z))
         else:
-            covered.append((a, b))
-    spans += [(a, b) for a, b in covered if len(text[a:b].split()) >= run_words]
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        while b < len(text) and text[b].isspace():
-            b += 1
-        while a < b and text[a].isspace():
-            a += 1
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(out[-1][1], b))
-        elif a < b:
-            out.append((a, b))
-    return n, out
+            held.append((a, z))
+    return u.lines, spans
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.string()), ("kept", pa.string()), ("text", pa.string())])
@@ -225,30 +213,37 @@ _RESULT = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_remove
 def _clean(unit_words: int, run_words: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            rows: list[list] = [[] for _ in _RESULT]
-            for i, t, ds in zip(b.column(0).to_pylist(), b.column(1), b.column(2), strict=True):
-                text = t.as_py()
-                flat = ds.values
-                known = {x["d1"].to_bytes(8, "little", signed=True) + x["d2"].to_bytes(8, "little", signed=True) for x in flat.to_pylist()} if flat is not None else set()
-                n, spans = removals(text or "", known, unit_words, run_words) if i is not None else (sum(1 for _ in sentences(text or "")), [])
-                kept, at = [], 0
-                for a, z in [*spans, (len(text or ""),) * 2]:
-                    if a > at:
-                        kept.append((at, a))
-                    at = z
-                values = (i, n, sum(z - a for a, z in spans), ",".join(f"{a}:{z}" for a, z in spans), ",".join(f"{a}:{z}" for a, z in kept), "".join(text[a:z] for a, z in kept) if text is not None else None)
-                for c, v in zip(rows, values, strict=True):
-                    c.append(v)
-            yield batch(_RESULT, rows)
+            ids, texts = b.column(0).to_pylist(), b.column(1).to_pylist()
+            lists = b.column(2)
+            counts = lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            digests = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+            at = np.cumsum(np.r_[0, counts])
+            for p, q in _chunks([t or "" for t in texts]):
+                here = [t or "" for t in texts[p:q]]
+                lines, spans = removals(here, np.repeat(np.arange(q - p), counts[p:q]), digests[at[p] : at[q]], unit_words, run_words)
+                rows: list[list] = [[] for _ in _RESULT]
+                for i, t, n, gone in zip(ids[p:q], texts[p:q], lines.tolist(), spans, strict=True):
+                    size = len(t or "")
+                    if i is None:
+                        gone = []
+                    kept, edge = [], 0
+                    for a, z in [*gone, (size, size)]:
+                        if a > edge:
+                            kept.append((edge, a))
+                        edge = z
+                    text = t if not gone or t is None else "".join(t[a:z] for a, z in kept)
+                    for c, v in zip(rows, (i, n, sum(z - a for a, z in gone), ",".join(f"{a}:{z}" for a, z in gone), ",".join(f"{a}:{z}" for a, z in kept), text), strict=True):
+                        c.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _RESULT, strict=True)], schema=_RESULT)
 
     return work
 
 
 def op9_line_dedup(docs: DataFrame, unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """doc_id, n_units, n_removed (code points), removed and kept spans (start:end of the original), text (what is kept)."""
+    """doc_id, n_units (lines with words), n_removed (code points), removed and kept spans (start:end of the original), text (what is kept)."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    keys = in_batches(rows, _emit(unit_words), "d1 long, d2 long, doc_id long")
-    first = keys.groupBy("d1", "d2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
-    later = keys.join(first, ["d1", "d2"]).where("doc_id > first")
-    by_doc = later.groupBy("doc_id").agg(F.collect_list(F.struct("d1", "d2")).alias("repeated"))
+    keys = in_batches(rows.where("doc_id is not null and text is not null"), _emit(unit_words), "digest long, doc_id long")
+    first = keys.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
+    later = keys.join(first, "digest").where("doc_id > first")
+    by_doc = later.groupBy("doc_id").agg(F.collect_list("digest").alias("repeated"))  # at most its own units
     return in_batches(rows.join(by_doc, "doc_id", "left"), _clean(unit_words, run_words), "doc_id long, n_units long, n_removed long, removed string, kept string, text string")
