@@ -58,6 +58,8 @@ def test_op1(spark):
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-32:]))
         assert r.media_sha256 == hashlib.sha256(media_ts.mux(p)).hexdigest()
+        x = media_ts.demux(media_ts.mux(p))
+        assert [(a.pts, a.es_offset) for a in r.access_points] == [(q.pts, q.offset) for q in x.pes if q.random_access] and r.n_random_access == len(r.access_points) > 0
     assert got[15].feature == got[16].feature
     assert media_ts.pes_index(media_ts.encode_media(frame(spark))).where("random_access").count() >= len(ODD)
     assert media_ts.op1_transport_stream(frame(spark).limit(0)).count() == 0
