@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..errors import InvalidArgument
 from ..schema import DELETE, LOG, PUT
+from .ordered import ranked
 
 MAX_OPS, MAX_LENGTH = (1 << 32) - 1, (1 << 32) - 1
 
@@ -58,11 +59,8 @@ class MutationBatch:
 def assign_seq(ops: DataFrame, base: int, *order: str) -> DataFrame:
     """Sequences for the ops of many batches: batches in order of ``order``, ops by pos, dense from ``base``.
 
-    Counts per batch give each batch its base, so only ops of one batch are put in order together."""
-    sizes = ops.groupBy(*order).agg(F.count("*").alias("_n"))
-    bases = sizes.withColumn("_base", F.coalesce(F.sum("_n").over(Window.orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + base).drop("_n")
-    rank = F.row_number().over(Window.partitionBy(*order).orderBy("pos"))
-    return ops.withColumn("_rank", rank).join(bases, list(order)).withColumn("seq", F.col("_base") + F.col("_rank") - 1).drop("_rank", "_base")
+    Ranges of (batch, pos) are put in order each by itself, so neither many batches nor a huge one meet in one task."""
+    return ranked(ops, [F.col(c) for c in (*order, "pos")], "seq").withColumn("seq", F.col("seq") + F.lit(base))
 
 
 def append_batches(first: DataFrame, second: DataFrame) -> DataFrame:
@@ -71,8 +69,20 @@ def append_batches(first: DataFrame, second: DataFrame) -> DataFrame:
     return first.unionByName(second.crossJoin(F.broadcast(n)).withColumn("pos", F.col("pos") + F.col("_n")).drop("_n"))  # one row
 
 
-def commit_groups(writes: DataFrame, by: str = "shard") -> DataFrame:
-    """Writes (``by``, pos, sync) in arrival order to groups that never mix sync and non-sync (M4): islands per queue."""
+GROUP_BYTES = 1 << 20
+
+
+def commit_groups(writes: DataFrame, by: str = "shard", size: str | None = None, limit: int = GROUP_BYTES) -> DataFrame:
+    """Writes (``by``, pos, sync) in arrival order to groups that never mix sync and non-sync (M4): islands per queue.
+
+    With a ``size`` column, an island is also cut where its running bytes pass a multiple of ``limit``."""
     order = Window.partitionBy(by).orderBy("pos")
     breaks = F.coalesce((F.lag("sync").over(order) != F.col("sync")).cast("long"), F.lit(1))
-    return writes.withColumn("_b", breaks).withColumn("commit_group", F.sum("_b").over(order)).drop("_b")
+    x = writes.withColumn("_b", breaks).withColumn("commit_group", F.sum("_b").over(order)).drop("_b")
+    if size is None:
+        return x
+    island = Window.partitionBy(by, "commit_group").orderBy("pos")
+    part = F.floor(F.coalesce(F.sum(size).over(island.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) / limit)
+    x = x.withColumn("_part", part)
+    cut = F.coalesce(((F.lag("commit_group").over(order) != F.col("commit_group")) | (F.lag("_part").over(order) != F.col("_part"))).cast("long"), F.lit(1))
+    return x.withColumn("_c", cut).withColumn("commit_group", F.sum("_c").over(order)).drop("_c", "_part")

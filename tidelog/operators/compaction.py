@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..options import Options
 from ..schema import DELETE
+from .ordered import running_max, with_previous
 
 
 def max_bytes(level: int, options: Options) -> int:
@@ -108,18 +109,28 @@ def pick(catalogue: list[Run], options: Options, pointers: dict[int, object] | N
     return Pick(level, inputs, below, _meets(by[level + 2], begin, end), _hull(inputs)[1], options)
 
 
+def covered(keys: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The rows of ``keys`` (user_key) that lie in one of ``ranges`` (smallest, largest): in key order, where the farthest end of the ranges
+    begun so far is not before the key (J6). Neither side is broadcast and no pairs are made."""
+    points = keys.select("user_key", F.lit(1).alias("_ask"), F.lit(None).cast(keys.schema["user_key"].dataType).alias("_to"))
+    starts = ranges.select(F.col("smallest").alias("user_key"), F.lit(0).alias("_ask"), F.col("largest").alias("_to"))
+    x = running_max(points.unionByName(starts), [F.col("user_key"), F.col("_ask")], F.col("_to"), "_reach")
+    return x.where((F.col("_ask") == 1) & (F.col("_reach") >= F.col("user_key"))).select("user_key")
+
+
 def collect_garbage(inputs: DataFrame, smallest_snapshot: int, deeper: DataFrame | None = None) -> DataFrame:
     """Input rows with ``reason``: null if kept, "shadowed" if a newer version is visible to every snapshot, "tombstone" if a
-    delete is older than every snapshot and no run of ``deeper`` (levels L + 2 and on) can hold its key (W2, J6, R19)."""
-    newer = F.lag("seq").over(Window.partitionBy("user_key").orderBy(F.col("seq").desc(), F.col("kind").desc()))
-    rows = inputs.withColumn("_newer", newer)
-    shadowed = F.coalesce(F.col("_newer") <= smallest_snapshot, F.lit(False))
+    delete is older than every snapshot and no run of ``deeper`` (levels L + 2 and on) can hold its key (W2, J6, R19).
+
+    The next newer version is the row before in internal order, over ranges, so a hot key's versions are split."""
+    order = [F.col("user_key"), -F.col("seq"), -F.col("kind").cast("int")]
+    rows = with_previous(inputs, order, F.struct("user_key", "seq"), "_before")
+    newer = F.when(F.col("_before.user_key") == F.col("user_key"), F.col("_before.seq"))
+    shadowed = F.coalesce(newer <= smallest_snapshot, F.lit(False))
     dead = (F.col("kind") == DELETE) & (F.col("seq") <= smallest_snapshot)
     if deeper is not None:
-        ranges = deeper.select(F.col("smallest").alias("_from"), F.col("largest").alias("_to"))
         doubtful = rows.where(dead & ~shadowed).select("user_key").distinct()
-        covered = doubtful.join(ranges, (F.col("user_key") >= F.col("_from")) & (F.col("user_key") <= F.col("_to")), "left_semi").withColumn("_covered", F.lit(True))
-        rows = rows.join(covered, "user_key", "left")
+        rows = rows.join(covered(doubtful, deeper).withColumn("_covered", F.lit(True)), "user_key", "left")
         dead = dead & F.col("_covered").isNull()
     reason = F.when(shadowed, "shadowed").when(dead, "tombstone")
     return rows.withColumn("reason", reason).select(*inputs.columns, "reason")
@@ -154,7 +165,7 @@ def exact_blocks(rows: DataFrame, limit: int, by: str = "run", size: str = "size
 
 
 class OutputSplitter:
-    """Whether an output should end before a key: grandparent bytes passed since the last cut exceed the budget."""
+    """Whether an output should end before a key, asked key by key: the per-row form of ``cut_keys``."""
 
     def __init__(self, grandparents: list[Run], budget: int) -> None:
         self.runs, self.budget, self.at, self.held, self.seen = sorted(grandparents, key=lambda r: r.smallest), budget, 0, 0, False
@@ -169,3 +180,24 @@ class OutputSplitter:
             self.held = 0
             return True
         return False
+
+
+def cut_keys(grandparents: list[Run], budget: int) -> list:
+    """Keys after which an output ends, as it has passed more than ``budget`` bytes of the runs two levels down."""
+    cuts, held = [], 0
+    for k, g in enumerate(sorted(grandparents, key=lambda r: (r.smallest, r.largest))):
+        held += g.size if k else 0  # what lies before the first key isn't passed
+        if held > budget:
+            cuts.append(g.largest)
+            held = 0
+    return cuts
+
+
+def in_outputs(rows: DataFrame, outputs: int, cuts: list | None = None) -> DataFrame:
+    """``rows`` dealt into key ranges for ``outputs`` files of even size, which are cut again after the ``cuts``; ``out`` numbers them in key
+    order (W4, W5). The versions of a key stay together, so outputs are disjoint."""
+    after = F.lit(0)
+    for c in cuts or []:
+        after = after + F.when(F.col("user_key") > F.lit(bytearray(c) if isinstance(c, bytes) else c), 1).otherwise(0)
+    dealt = rows.repartitionByRange(max(outputs, 1), "user_key")
+    return dealt.withColumn("out", F.spark_partition_id() * (len(cuts or []) + 1) + after)
