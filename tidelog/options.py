@@ -2,7 +2,12 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+import logging
+from collections.abc import Callable
+from dataclasses import dataclass, field
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 
 from .errors import InvalidArgument
 
@@ -13,11 +18,32 @@ def clip(x: int, low: int, high: int) -> int:
     return min(max(x, low), high)
 
 
+@dataclass(frozen=True)
+class KeyOrder:
+    """A custom order of keys (X1): an encoding whose unsigned byte order is that order, as column expressions and for one key."""
+
+    name: str
+    encode: Callable[[Column], Column]
+    decode: Callable[[Column], Column]
+    encode_bytes: Callable[[bytes], bytes]
+
+
+BYTEWISE = KeyOrder("bytewise", lambda c: c, lambda c: c, lambda k: k)
+_UP, _DOWN = "0123456789ABCDEF", "FEDCBA9876543210"
+#: Greatest key first: complemented hex digits with an end mark above them all, so that a longer key precedes its prefix.
+REVERSE = KeyOrder(
+    "reverse-bytewise",
+    lambda c: F.concat(F.translate(F.hex(c), _UP, _DOWN), F.lit("G")).cast("binary"),
+    lambda c: F.unhex(F.translate(F.regexp_replace(c.cast("string"), "G$", ""), _DOWN, _UP)),
+    lambda k: (k.hex().upper().translate(str.maketrans(_UP, _DOWN)) + "G").encode(),
+)
+
+
 @dataclass
 class Options:
     create_if_missing: bool = True
     error_if_exists: bool = False
-    comparator: str = "bytewise"
+    comparator: KeyOrder | str = BYTEWISE
     write_buffer: int = 8 * MIB
     file_size: int = 4 * MIB
     manifest_size: int = 64 * MIB
@@ -33,8 +59,12 @@ class Options:
     level_multiplier: int = 10
     base_level_bytes: int = 0  # four write buffers unless given
     paranoid: bool = False
+    compact_every: int = 0  # ingested runs from one round of compactions to the next; 0: only when level 0 is full
+    logger: logging.Logger = field(default_factory=lambda: logging.getLogger("tidelog"))
 
     def __post_init__(self) -> None:
+        if isinstance(self.comparator, str):
+            self.comparator = {o.name: o for o in (BYTEWISE, REVERSE)}.get(self.comparator) or KeyOrder(self.comparator, *(lambda c: c,) * 3)
         self.write_buffer = clip(self.write_buffer, 64 * KIB, 1 << 30)
         self.file_size = clip(self.file_size, MIB, 1 << 30)
         self.manifest_size = clip(self.manifest_size, KIB, 1 << 30)
