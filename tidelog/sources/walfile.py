@@ -13,9 +13,14 @@ FULL, FIRST, MIDDLE, LAST = 1, 2, 3, 4
 
 
 def write_records(records: Iterable[bytes]) -> bytes:
-    out, at = bytearray(), 0
+    return b"".join(framed(records))
+
+
+def framed(records: Iterable[bytes]) -> Iterator[bytes]:
+    """The bytes of a log, a record at a time."""
+    at = 0
     for record in records:
-        start, begin = 0, True
+        start, begin, out = 0, True, bytearray()
         while True:
             room = BLOCK - at
             if room < HEADER:
@@ -29,7 +34,7 @@ def write_records(records: Iterable[bytes]) -> bytes:
             at, begin = at + HEADER + len(part), False
             if end:
                 break
-    return bytes(out)
+        yield bytes(out)
 
 
 def read_records(data: bytes, strict: bool = False) -> Iterator[tuple[bytes | None, str | None]]:
