@@ -63,6 +63,16 @@ def crc32c(data: pd.Series) -> pd.Series:
     return data.map(lambda d: codec.crc32c(bytes(d)))
 
 
+def bloom_hit(h: str, filter_: str) -> Column:
+    """Whether a filter's bytes may hold a key of hash ``h``, inside the JVM: all its probes' bits are set."""
+    bits = f"((length({filter_}) - 1) * 8)"
+    byte = lambda at: f"cast(conv(hex(substring({filter_}, cast({at} as int), 1)), 16, 10) as int)"
+    delta = f"(((({h}) >> 17) | (({h}) << 15)) & 4294967295)"
+    at = f"(((({h}) + i * {delta}) & 4294967295) % {bits})"
+    probes = byte(f"length({filter_})")
+    return F.expr(f"case when length({filter_}) < 2 then false when {probes} > 30 then true else forall(sequence(0, {probes} - 1), i -> getbit({byte(f'{at} div 8 + 1')}, cast({at} % 8 as int)) = 1) end")
+
+
 @F.pandas_udf(T.BooleanType())
 def bloom_probe(keys: pd.Series, filters: pd.Series) -> pd.Series:
     return pd.Series([codec.bloom_probe(bytes(k), bytes(f)) for k, f in zip(keys, filters, strict=True)])

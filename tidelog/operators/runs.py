@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import bounds
+
 LEVELS = 7
 
 
@@ -33,6 +35,14 @@ def overlapping(runs: DataFrame, begin=None, end=None) -> DataFrame:
     return runs if end is None else runs.where(F.col("smallest") <= F.lit(end))
 
 
+def candidates(keys: DataFrame, runs: DataFrame) -> DataFrame:
+    """(user_key) with the columns of every run whose range holds it (P3, P10): both sides meet by ranges of keys, so no pair outside a range is made."""
+    cuts = [c[0] for c in bounds(keys, [F.col("user_key")])]
+    at = lambda c: F.aggregate(F.array(*map(F.lit, cuts)), F.lit(0), lambda a, x: a + F.when(x <= F.col(c), 1).otherwise(0)) if cuts else F.lit(0)
+    spread = runs.withColumn("_p", F.explode(F.sequence(at("smallest"), at("largest"))))
+    return keys.withColumn("_p", at("user_key")).join(spread, "_p").where("user_key between smallest and largest").drop("_p")
+
+
 def lower_bound(runs: DataFrame, key) -> DataFrame:
     """First run of a sorted level that can hold ``key``."""
     return runs.where(F.col("largest") >= F.lit(key)).orderBy("largest").limit(1)

@@ -268,6 +268,25 @@ def _(s, d):
     return runs.islands(_narrow(s, d)).select("level", "run", _long("island"))
 
 
+def _chained(s, d):
+    """Runs of a level whose ranges touch: each begins at the key where another ends, some reach over their neighbour."""
+    a = F.floor(F.col("run") / 4)
+    return _catalogue(s, d).select("level", "run", "size", make_key(a * 50).alias("smallest"), make_key((a + 1) * 50 + F.when(a % 3 == 0, 25).otherwise(0)).alias("largest"))
+
+
+CHAINED = f"{CAT}, T AS (SELECT level, run, size, lpad(CAST(run // 4 * 50 AS VARCHAR), 16, '0') AS smallest, lpad(CAST((run // 4 + 1) * 50 + CASE WHEN run // 4 % 3 = 0 THEN 25 ELSE 0 END AS VARCHAR), 16, '0') AS largest FROM C)"
+
+
+@query("boundary_files_chained", f"{WITH}, {CHAINED} SELECT a.level, a.run, b.run AS next_run, a.largest AS boundary_key FROM T a JOIN T b ON a.level = b.level AND a.largest = b.smallest AND a.run <> b.run")
+def _(s, d):
+    return runs.boundary_pairs(_chained(s, d))
+
+
+@query("disjointness_violations_chained", f"{WITH}, {CHAINED} SELECT level, run, next_run, largest, next_smallest FROM (SELECT *, lead(run) OVER w AS next_run, lead(smallest) OVER w AS next_smallest FROM T WHERE level >= 1 WINDOW w AS (PARTITION BY level ORDER BY smallest, run)) WHERE next_smallest <= largest")
+def _(s, d):
+    return runs.disjointness_violations(_chained(s, d))
+
+
 @query("boundary_files", f"{WITH}, {NARROW} SELECT a.level, a.run, b.run AS next_run, a.largest AS boundary_key FROM N a JOIN N b ON a.level = b.level AND a.largest = b.smallest AND a.run <> b.run")
 def _(s, d):
     return runs.boundary_pairs(_narrow(s, d))
@@ -406,7 +425,10 @@ def _(s, d):
     return compaction.block_of(in_runs(L(s, d), RUNS).withColumn("size", F.lit(16) + F.col("seq") % 100), 4096).select("run", "user_key", "seq", _long("block"))
 
 
-@query("exact_block_count", None)
+@query("exact_block_count", f"""WITH RECURSIVE L AS ({L_SQL}), S AS (SELECT (seq - 1) // {RUNS} AS run, 16 + seq % 100 AS size, row_number() OVER (PARTITION BY (seq - 1) // {RUNS} ORDER BY user_key, seq DESC) AS i FROM L),
+W AS (SELECT run, i, size AS bytes, CAST(0 AS BIGINT) AS block, CAST(size AS BIGINT) AS held FROM S WHERE i = 1
+UNION ALL SELECT S.run, S.i, W.bytes + S.size, CASE WHEN W.held >= 4096 THEN W.block + 1 ELSE W.block END, CASE WHEN W.held >= 4096 THEN 0 ELSE W.held END + S.size FROM W JOIN S ON S.run = W.run AND S.i = W.i + 1)
+SELECT run, max(block) + 1 AS blocks, CAST(max(bytes) AS BIGINT) AS bytes FROM W GROUP BY run""")
 def _(s, d):
     cut = compaction.exact_blocks(in_runs(L(s, d), RUNS).select("run", "user_key", "seq", (F.lit(16) + F.col("seq") % 100).alias("size")), 4096)
     return cut.groupBy("run").agg((F.max("block") + 1).alias("blocks"), F.sum("size").alias("bytes"))
@@ -449,13 +471,22 @@ def _(s, d):
     return L(s, d).select("user_key").distinct().select("user_key", fx.key_hash("user_key", 16).alias("h"))
 
 
-@query("bloom_candidates", None)
+def _bloom_sql() -> str:
+    """Bits of every run's keys (ten a key, six probes), and the keys within a run's range all of whose bits are set."""
+    return f"""{WITH}, H AS ({_hash_sql()}), K AS (SELECT DISTINCT (seq - 1) // {RUNS} AS run, user_key FROM L),
+B AS (SELECT run, 8 * CAST(ceil(greatest(64, 10 * count(*)) / 8.0) AS BIGINT) AS bits, min(user_key) AS smallest, max(user_key) AS largest FROM K GROUP BY run),
+X AS (SELECT user_key, i, (h + i * (((h >> 17) | (h << 15)) & 4294967295)) & 4294967295 AS x FROM H, (SELECT CAST(unnest(range(6)) AS BIGINT) AS i)),
+S AS (SELECT DISTINCT run, x % bits AS b FROM K JOIN B USING (run) JOIN X USING (user_key))
+SELECT run, count(*) AS candidates FROM (SELECT B.run, X.user_key FROM B JOIN X ON X.user_key BETWEEN smallest AND largest LEFT JOIN S ON S.run = B.run AND S.b = X.x % B.bits GROUP BY 1, 2 HAVING count(S.b) = 6) GROUP BY 1"""
+
+
+@query("bloom_candidates", _bloom_sql())
 def _(s, d):
+    """For every run, the keys in its range that its filter lets through."""
     log = in_runs(L(s, d), RUNS)
-    filters = fx.bloom_build(log, "run")
-    probes = log.select("user_key").distinct()
-    pairs = probes.crossJoin(filters)  # every key asks every run; Spark broadcasts a side only if it is small
-    hit = pairs.where(fx.bloom_probe(F.col("user_key").cast("binary"), "filter"))
+    held = runs.run_meta(log).select("run", "smallest", "largest").join(fx.bloom_build(log, "run"), "run")
+    keys = log.select("user_key").distinct()
+    hit = runs.candidates(keys, held).withColumn("h", fx.key_hash("user_key", 16)).where(fx.bloom_hit("h", "filter"))
     return hit.groupBy("run").agg(F.count("*").alias("candidates"))
 
 
@@ -500,8 +531,12 @@ def _(s, d):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    from . import store_queries  # noqa: F401  registers its own
+
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from . import store_queries  # noqa: F401
+
     return dict(ORACLES)
