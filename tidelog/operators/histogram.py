@@ -31,5 +31,20 @@ def percentiles(histogram: DataFrame, ranks: tuple[int, ...] = (50, 95, 99)) ->
     return x.agg(*(F.coalesce(F.min(F.when(F.col("upto") >= F.greatest(F.lit(1), F.ceil(F.col("total") * p / 100)), F.col("bound"))), F.lit(0)).cast("long").alias(f"p{p}") for p in ranks))
 
 
+def bound_of(us: float) -> int:
+    """The bucket of one latency."""
+    return next((b for b in BOUNDS if us <= b), BOUNDS[-1])
+
+
+def rank_of(counts: dict[int, int], rank: int) -> int:
+    """A percentile of counts by bound, as ``percentiles`` gives it."""
+    total, upto = sum(counts.values()), 0
+    for b in sorted(counts):
+        upto += counts[b]
+        if upto >= max(1, -(-total * rank // 100)):
+            return b
+    return 0
+
+
 def throughput(ops: int, bytes_: int, wall_s: float, thread_s: float) -> dict[str, float]:
     return {"ops_per_s": ops / wall_s if wall_s else 0.0, "mb_per_s": bytes_ / (1 << 20) / wall_s if wall_s else 0.0, "avg_us": thread_s / ops * 1e6 if ops else 0.0}
