@@ -1,4 +1,9 @@
-"""From raw documents to packed sequences: quality, near duplicates, personal data, mixture, packing."""
+"""From raw documents to packed sequences: quality, near duplicates, personal data, mixture, packing.
+
+Each stage works on every row that its predecessor kept and decides row by row: rows that repeat, or share a doc_id, or have none, or
+whose text is null or empty are rows like any other, and columns beside doc_id, text and source pass through under whatever
+name. A stage over no rows gives none.
+"""
 
 from __future__ import annotations
 
@@ -10,27 +15,27 @@ from tidelog.llm.queries import tokenizer_path
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the compression classifier rejects go."""
+    """Documents that the compression classifier rejects go. Null and empty texts are scored as empty ones."""
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def near_duplicates_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays."""
+    """One row of each SimHash component stays, that with the smallest doc_id (null last); texts without words are one component."""
     return simhash.keep_one(docs)
 
 
 def personal_data_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind in brackets."""
+    """Personal data is replaced by its kind in brackets; null texts stay null."""
     return pii.mask(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents are repeated or left out so that sources come near their targets."""
+    """Rows are repeated or left out so that sources (null is one) come near their targets; rows without words go with none left."""
     return mixing.mix_rows(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """A row for each piece: its sequence and its place there."""
+    """A row for each piece: its sequence and its place there; a null or empty text is one piece with the end id."""
     return packing.op6_vector_best_fit(docs, tokenizer_path("word_bpe_49k.json"))
 
 
