@@ -24,7 +24,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import in_batches
@@ -54,12 +54,16 @@ def labelled(labels: DataFrame, column: str, per_class: int, kept_out: F.Column)
 
 
 def labelled_texts(docs: DataFrame, labels: DataFrame, column: str, per_class: int, kept_out: F.Column, most: int = FIT_BYTES) -> DataFrame:
-    """(doc_id, y, text): the sample of ``labelled`` with its whole texts, in its order as long as a class's share of ``most`` bytes lasts."""
+    """(doc_id, y, text): the sample of ``labelled`` with its whole texts, in its order, those that still fit into a class's half of ``most`` bytes."""
     picked = labelled(labels, column, per_class, kept_out)
-    sized = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("_n")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.max("_n").alias("_n"))
-    run = F.sum("_n").over(Window.partitionBy("y").orderBy(F.md5(F.concat(F.col("doc_id").cast("string"), F.lit(f":{SEED}"))), "doc_id"))
-    fitting = sized.withColumn("_run", run).where(F.col("_run") <= most // 2).select("doc_id", "y")  # 2 * per_class rows of a class at most
-    return docs.select("doc_id", "text").join(F.broadcast(fitting), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    sized = docs.select("doc_id", F.octet_length(F.coalesce("text", F.lit(""))).alias("n")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.max("n").alias("n"))
+    fitting, held = [], {0: 0, 1: 0}
+    for r in sorted(sized.collect(), key=lambda r: (sample_order(r.doc_id), r.doc_id)):  # 2 * per_class ids of a class at most
+        if held[r.y] + r.n <= most // 2:
+            held[r.y] += r.n
+            fitting.append((r.doc_id, r.y))
+    chosen = docs.sparkSession.createDataFrame(fitting, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int")
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, balance: float = 0.0) -> np.ndarray:
