@@ -129,6 +129,19 @@ def test_op3(spark):
     assert embed_near.op3_projection_passes(df.limit(0)).count() == 0
 
 
+def test_op3_edges(spark):
+    """Repeated rows of one vec_id, copies, extra columns of clashing names, a pair just at the threshold and one just below."""
+    at, below = np.array([0.9, np.sqrt(1 - 0.81)]), np.array([0.8999, np.sqrt(1 - 0.8999**2)])
+    v = [[1.0, 0.0], at.tolist(), [0.0, -1.0], [-0.0, -2.0]]
+    up = float(np.nextafter(0.9, 1))
+    v[1] = [up, float(np.sqrt(1 - up**2))]
+    rows = [(1, v[0], 5, 7, "a"), (2, v[1], 5, 7, "b"), (3, v[2], 5, 7, "c"), (4, v[3], 5, 7, "d"), (5, [0.0, -1.0], 1, 1, "e"), (5, [0.0, -1.0], 1, 1, "e"), (6, (-below).tolist(), 0, 0, "f"), (7, [-1.0, 0.0], 0, 0, "g"), (None, [1.0, 0.0], 0, 0, "h")]
+    got = embed_near.op3_projection_passes(spark.createDataFrame(rows, "vec_id long, embedding array<double>, n_links int, id long, component_id string")).collect()
+    of = {r.vec_id: (r.n_links, r.component_id) for r in got}
+    assert len(got) == 9 and of[1] == (2, 1) and of[2] == (2, 1) and of[None] == (2, 1) and of[3] == of[4] == of[5] == (3, 3)
+    assert of[6] == (0, 6) and of[7] == (0, 7)
+
+
 def test_op3_hot_topic(spark):
     """A third of the vectors share a cosine of 0.8; pairs of 0.9 to 0.93 lie inside that third."""
     rng = np.random.default_rng(3)

@@ -240,16 +240,20 @@ def count_links(members: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
 
 
 def op3_projection_passes(embeddings: DataFrame, threshold: float = THRESHOLD, passes: int = PASSES) -> DataFrame:
-    """vec_id, n_links, component_id, kept: one row per row of ``embeddings``."""
-    rows = embeddings.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
+    """vec_id, n_links, component_id, kept: one row per row of ``embeddings``.
+
+    Equal vectors are known by a digest of 128 bits; rows meet their vector's result by it, so no vector is shuffled for that, and Spark splits the copies of a hot one."""
+    numbers = F.transform(F.col("embedding").cast("array<double>"), lambda x: x + F.lit(0.0))  # one zero
+    rows = embeddings.select(F.col("vec_id").cast("long"), numbers.alias("embedding")).select("*", F.xxhash64("embedding").alias("d1"), F.xxhash64(F.lit(SEED), "embedding").alias("d2"))
     valid = rows.where(usable())
-    reps = written(valid.groupBy("embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id()), "vectors")  # stored, so the ids stay
+    reps = valid.groupBy("d1", "d2").agg(F.first("embedding").alias("embedding"), F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("id", F.monotonically_increasing_id())
+    reps = written(reps, "vectors")  # stored, so the ids stay
     cc = written(connected_components(find_links(reps, threshold, passes), "embeddings"), "components")
     members = cc.withColumnRenamed("node", "id").join(reps, "id")
     links = count_links(members.select("component", "id", "n", "embedding"), threshold)
     least = members.groupBy("component").agg(F.min("least").alias("component_id"))
     named = members.select("id", "component").join(least, "component").join(links, "id", "left").select("id", "component_id", F.coalesce("links", F.lit(0)).alias("links"))
-    every = reps.join(named, "id", "left").select("embedding", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
-    found = rows.join(every, "embedding", "left")
+    every = reps.join(named, "id", "left").select("d1", "d2", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component_id", "least").alias("component_id"))
+    found = rows.select("vec_id", "d1", "d2").join(every, ["d1", "d2"], "left")
     out = found.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
