@@ -268,6 +268,11 @@ def test_logger(spark, tmp_path, caplog):
     assert any("opened" in r.message for r in caplog.records) and any("removed" in r.message for r in caplog.records)
 
 
+def test_skew_is_seen(spark):
+    even = spark.range(4000).selectExpr("id % 50 AS k")
+    assert not ordered.skewed(even, "k") and ordered.skewed(even.union(spark.range(6000).selectExpr("7L AS k")), "k") and not ordered.skewed(even.limit(0), "k")
+
+
 @pytest.mark.parametrize("ranges", [1, 2, 7])
 def test_order_over_ranges(spark, ranges):
     rng = random.Random(ranges)
@@ -286,25 +291,28 @@ def test_order_over_ranges(spark, ranges):
     assert ordered.ranked(df.limit(0), keys, "at", ranges).count() == 0
 
 
-def test_multi_get_against_a_model(spark):
+@pytest.mark.parametrize("split", [True, False])
+def test_multi_get_against_a_model(spark, split):
     rng = random.Random(9)
     log = [(b"k%d" % rng.choice([1, rng.randrange(30)]), s, rng.randrange(2), b"v%d" % s) for s in range(1, 300)]
     probes = [(p, b"k%d" % rng.choice([1, rng.randrange(35)]), rng.randrange(0, 310)) for p in range(200)]
     df = spark.createDataFrame([(bytearray(k), s, c, bytearray(v)) for k, s, c, v in log], LOG)
-    got = {r.probe_id: (r.found, r.seq, r.value and bytes(r.value)) for r in visibility.multi_get(df, spark.createDataFrame([(p, bytearray(k), s) for p, k, s in probes], "probe_id long, user_key binary, as_of long")).collect()}
+    got = {r.probe_id: (r.found, r.seq, r.value and bytes(r.value)) for r in visibility.multi_get(df, spark.createDataFrame([(p, bytearray(k), s) for p, k, s in probes], "probe_id long, user_key binary, as_of long"), split).collect()}
     for p, k, at in probes:
         best = max((x for x in log if x[0] == k and x[1] <= at), key=lambda x: x[1], default=None)
         assert got[p] == ((True, best[1], best[3]) if best and best[2] else (False, None, None))
     assert len(got) == len(probes)
 
 
-def test_collect_garbage_against_a_model(spark):
+@pytest.mark.parametrize("split", [True, False])
+def test_collect_garbage_against_a_model(spark, monkeypatch, split):
+    monkeypatch.setattr(compaction, "KNOWN_RUNS", 0 if split else 10)
     rng = random.Random(3)
     log = [(b"k%02d" % rng.choice([1, rng.randrange(20)]), s, rng.randrange(2), b"v") for s in range(1, 250)]
     deep = [(b"k03", b"k07"), (b"k05", b"k05"), (b"k12", b"k13")]
     df = spark.createDataFrame([(bytearray(k), s, c, bytearray(v)) for k, s, c, v in log], LOG)
     ranges = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in deep], "smallest binary, largest binary")
-    got = {r.seq: r.reason for r in compaction.collect_garbage(df, 120, ranges).collect()}
+    got = {r.seq: r.reason for r in compaction.collect_garbage(df, 120, ranges, split).collect()}
     for k, s, c, _ in log:
         newer = min((x[1] for x in log if x[0] == k and x[1] > s), default=None)
         want = "shadowed" if newer is not None and newer <= 120 else "tombstone" if c == 0 and s <= 120 and not any(a <= k <= b for a, b in deep) else None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..options import Options
 from ..schema import DELETE
-from .ordered import running_max, with_previous
+from .ordered import running_max, skewed, with_previous
 
 
 def max_bytes(level: int, options: Options) -> int:
@@ -109,23 +109,44 @@ def pick(catalogue: list[Run], options: Options, pointers: dict[int, object] | N
     return Pick(level, inputs, below, _meets(by[level + 2], begin, end), _hull(inputs)[1], options)
 
 
+KNOWN_RUNS = 10_000  # catalogue rows that the driver joins into intervals
+
+
 def covered(keys: DataFrame, ranges: DataFrame) -> DataFrame:
-    """The rows of ``keys`` (user_key) that lie in one of ``ranges`` (smallest, largest): in key order, where the farthest end of the ranges
-    begun so far is not before the key (J6). Neither side is broadcast and no pairs are made."""
+    """The rows of ``keys`` (user_key) that lie in one of ``ranges`` (smallest, largest; one row a run).
+
+    Up to KNOWN_RUNS ranges are joined into disjoint intervals on the driver, and these are broadcast. Beyond, both sides are put in key order over
+    ranges of it: a key is covered where the farthest end of the runs begun so far is not before it."""
+    few = ranges.select("smallest", "largest").limit(KNOWN_RUNS + 1).collect()
+    if len(few) <= KNOWN_RUNS:
+        whole: list[list] = []
+        for a, b in sorted((r.smallest, r.largest) for r in few):
+            if whole and a <= whole[-1][1]:
+                whole[-1][1] = max(whole[-1][1], b)
+            else:
+                whole.append([a, b])
+        kind = keys.schema["user_key"].dataType.simpleString()
+        intervals = keys.sparkSession.createDataFrame([tuple(x) for x in whole], f"_from {kind}, _to {kind}")
+        return keys.join(F.broadcast(intervals), (F.col("user_key") >= F.col("_from")) & (F.col("user_key") <= F.col("_to")), "left_semi").select("user_key")
     points = keys.select("user_key", F.lit(1).alias("_ask"), F.lit(None).cast(keys.schema["user_key"].dataType).alias("_to"))
     starts = ranges.select(F.col("smallest").alias("user_key"), F.lit(0).alias("_ask"), F.col("largest").alias("_to"))
     x = running_max(points.unionByName(starts), [F.col("user_key"), F.col("_ask")], F.col("_to"), "_reach")
     return x.where((F.col("_ask") == 1) & (F.col("_reach") >= F.col("user_key"))).select("user_key")
 
 
-def collect_garbage(inputs: DataFrame, smallest_snapshot: int, deeper: DataFrame | None = None) -> DataFrame:
+def collect_garbage(inputs: DataFrame, smallest_snapshot: int, deeper: DataFrame | None = None, split: bool | None = None) -> DataFrame:
     """Input rows with ``reason``: null if kept, "shadowed" if a newer version is visible to every snapshot, "tombstone" if a
     delete is older than every snapshot and no run of ``deeper`` (levels L + 2 and on) can hold its key (W2, J6, R19).
 
-    The next newer version is the row before in internal order, over ranges, so a hot key's versions are split."""
-    order = [F.col("user_key"), -F.col("seq"), -F.col("kind").cast("int")]
-    rows = with_previous(inputs, order, F.struct("user_key", "seq"), "_before")
-    newer = F.when(F.col("_before.user_key") == F.col("user_key"), F.col("_before.seq"))
+    The next newer version is the row before in internal order: within the key, or over ranges where ``split``
+    (by default if a sample shows a hot key), so that a hot key's versions don't meet in one task."""
+    if skewed(inputs, "user_key") if split is None else split:
+        order = [F.col("user_key"), -F.col("seq"), -F.col("kind").cast("int")]
+        rows = with_previous(inputs, order, F.struct("user_key", "seq"), "_prior")
+        newer = F.when(F.col("_prior.user_key") == F.col("user_key"), F.col("_prior.seq"))
+    else:
+        rows = inputs.withColumn("_prior", F.lag("seq").over(Window.partitionBy("user_key").orderBy(F.col("seq").desc(), F.col("kind").desc())))
+        newer = F.col("_prior")
     shadowed = F.coalesce(newer <= smallest_snapshot, F.lit(False))
     dead = (F.col("kind") == DELETE) & (F.col("seq") <= smallest_snapshot)
     if deeper is not None:

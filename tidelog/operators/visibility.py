@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..schema import PUT
-from .ordered import bucketed
+from .ordered import bucketed, skewed
 
 
 def at_snapshot(log: DataFrame, as_of: int | None) -> DataFrame:
@@ -36,25 +36,28 @@ def get(log: DataFrame, key, as_of: int | None = None) -> DataFrame:
     return rows.orderBy(F.col("seq").desc(), F.col("kind").desc()).limit(1).where(F.col("kind") == PUT)
 
 
-def multi_get(log: DataFrame, probes: DataFrame) -> DataFrame:
+def multi_get(log: DataFrame, probes: DataFrame, split: bool | None = None) -> DataFrame:
     """As-of join of (probe_id, user_key, as_of) probes: the visible value of each, null where there is none.
 
-    Only versions of probed keys take part (a semi join). They and the probes are put in the order of (key, seq) by ranges, a hot
-    key over many of them; a probe takes the version before it in its range, or else the newest of its key in the ranges before,
-    of which there is one row a key and range. No pair of a probe and a version is made."""
+    Only versions of probed keys take part (a semi join). They and the probes are put in the order of (key, seq), and a probe takes the version
+    before it; no pair of a probe and a version is made. Where ``split`` (by default if a sample shows a hot key) that order is cut into ranges, a hot
+    key over many of them; a probe with no version in its range takes the newest of its key in the ranges before, of which there is one row a
+    key and range."""
+    hot = skewed(log, "user_key") if split is None else split
     near = log.join(probes.select("user_key").distinct(), "user_key", "left_semi")
     version = F.struct("seq", "kind", "value")
     rows = near.select("user_key", F.col("seq").alias("_at"), F.lit(0).alias("_ask"), version.alias("_v"), F.lit(None).cast(probes.schema["probe_id"].dataType).alias("probe_id"), F.lit(None).cast("long").alias("as_of"))
     asked = probes.select("user_key", F.col("as_of").cast("long").alias("_at"), F.lit(1).alias("_ask"), F.lit(None).cast(rows.schema["_v"].dataType).alias("_v"), "probe_id", F.col("as_of").cast("long"))
-    keys = [F.col("user_key"), F.col("_at"), F.col("_ask")]
-    x = bucketed(rows.unionByName(asked), keys)
-    newest_of = x.where("_ask = 0").groupBy("user_key", "_p").agg(F.max_by("_v", "_at").alias("_old")).withColumnRenamed("_p", "_q")
-    order = Window.partitionBy("_p", "user_key").orderBy("_at", "_ask")
-    own = x.withColumn("_own", F.last("_v", ignorenulls=True).over(order)).where("_ask = 1").select("probe_id", "user_key", "as_of", "_p", "_own")
-    hit, open_ = own.where("_own is not null").select("probe_id", "user_key", "as_of", "_own"), own.where("_own is null").drop("_own")
-    before = open_.join(newest_of.withColumnRenamed("user_key", "_k"), (F.col("user_key") == F.col("_k")) & (F.col("_q") < F.col("_p")), "left")
-    late = before.groupBy("probe_id", "user_key", "as_of", "_p").agg(F.max_by("_old", "_q").alias("_own")).drop("_p")
-    best = hit.unionByName(late).withColumnRenamed("_own", "b")
+    x = rows.unionByName(asked)
+    if hot:
+        x = bucketed(x, [F.col("user_key"), F.col("_at"), F.col("_ask")])
+    order = Window.partitionBy(*(["_p"] if hot else []), "user_key").orderBy("_at", "_ask")
+    best = x.withColumn("b", F.last("_v", ignorenulls=True).over(order)).where("_ask = 1")
+    if hot:
+        newest_of = x.where("_ask = 0").groupBy(F.col("user_key").alias("_key"), F.col("_p").alias("_q")).agg(F.max_by("_v", "_at").alias("_old"))
+        before = best.where("b is null").select("probe_id", "user_key", "as_of", "_p").join(newest_of, (F.col("user_key") == F.col("_key")) & (F.col("_q") < F.col("_p")), "left")
+        late = before.groupBy("probe_id", "user_key", "as_of", "_p").agg(F.max_by("_old", "_q").alias("b"))
+        best = best.where("b is not null").select(*late.columns).unionByName(late)
     seen = F.coalesce(F.col("b.kind") == PUT, F.lit(False))
     return best.select("probe_id", "user_key", "as_of", F.when(seen, F.col("b.seq")).alias("seq"), F.when(seen, F.col("b.value")).alias("value"), seen.alias("found"))
 
