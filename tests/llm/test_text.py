@@ -356,13 +356,14 @@ def test_op9_passages_inside_sentences(spark):
         passage = words(rng.randrange(51, 90))  # no sentence ends inside or around it
         texts += [f"{words(30)} {passage} {words(25)}.", f"{words(13)} {passage.upper()}\n{words(40)}. {words(9)} {passage}"]
         planted[2 * k + 1] = passage
-    short = "a short line here to tell"
+    short = "a short line here to tell"  # goes, but is no passage
     texts += [f"{words(20)}\n{short}\n{words(8)}.", f"{words(12)}\n{short.upper()}\n{words(8)}.", f"{words(8)} {short} {words(8)}."]
     got = {r.doc_id: r for r in linededup.op9_line_dedup(docs(spark, texts)).collect()}
     left = [len(set(p.split()) & set(got[i].text.lower().split())) for i, p in planted.items()]
     assert all(n <= 4 * (linededup.GAP + 1) for n in left)  # at both ends of both copies
     assert sum(left) < 0.25 * sum(len(p.split()) for p in planted.values())
     assert all(got[i].n_removed == 0 for i in (*range(0, 80, 2), 80, 82)) and got[81].text.count("\n") == 1 and short.upper() not in got[81].text
+    assert got[81].n_removed > 0 == got[81].n_passage_removed and all(got[i].n_passage_removed > 0.5 * len(p) for i, p in planted.items())
     one, none = "again " * 300, np.zeros(0, np.int64)
     assert all(a >= 17 * 6 for a, _ in linededup.removals([one], none, none)[1][0])
 

@@ -37,6 +37,7 @@ from pyspark.sql import functions as F
 from .common import in_batches
 
 UNIT_WORDS, RUN_WORDS, STRETCH, GAP = 4, 20, 16, 11
+PASSAGE_WORDS = 28  # of a removed span that counts as a passage: what at least goes of one of 50 words
 CHARS = 1 << 20  # of the texts that one array operation takes; a longer text is taken alone
 _SPACE = np.zeros(0x3002, bool)
 _SPACE[[c for c in range(0x3001) if chr(c).isspace()]] = True
@@ -207,7 +208,7 @@ def removals(texts: list[str], doc: np.ndarray, digest: np.ndarray, unit_words:
     return u.lines, spans
 
 
-_RESULT = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.string()), ("kept", pa.string()), ("text", pa.string())])
+_RESULT = pa.schema([("doc_id", pa.int64()), ("n_units", pa.int64()), ("n_removed", pa.int64()), ("n_passage_removed", pa.int64()), ("removed", pa.string()), ("kept", pa.string()), ("text", pa.string())])
 
 
 def _clean(unit_words: int, run_words: int):
@@ -232,7 +233,7 @@ def _clean(unit_words: int, run_words: int):
                             kept.append((edge, a))
                         edge = z
                     text = t if not gone or t is None else "".join(t[a:z] for a, z in kept)
-                    for c, v in zip(rows, (i, n, sum(z - a for a, z in gone), ",".join(f"{a}:{z}" for a, z in gone), ",".join(f"{a}:{z}" for a, z in kept), text), strict=True):
+                    for c, v in zip(rows, (i, n, sum(z - a for a, z in gone), sum(z - a for a, z in gone if len(t[a:z].split()) >= PASSAGE_WORDS), ",".join(f"{a}:{z}" for a, z in gone), ",".join(f"{a}:{z}" for a, z in kept), text), strict=True):
                         c.append(v)
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(rows, _RESULT, strict=True)], schema=_RESULT)
 
@@ -240,10 +241,11 @@ def _clean(unit_words: int, run_words: int):
 
 
 def op9_line_dedup(docs: DataFrame, unit_words: int = UNIT_WORDS, run_words: int = RUN_WORDS) -> DataFrame:
-    """doc_id, n_units (lines with words), n_removed (code points), removed and kept spans (start:end of the original), text (what is kept)."""
+    """doc_id, n_units (lines with words), n_removed (code points), n_passage_removed (those of spans of PASSAGE_WORDS words or more, so that
+    repeated passages are told from single boilerplate lines), removed and kept spans (start:end of the original), text (what is kept)."""
     rows = docs.select(F.col("doc_id").cast("long"), "text")
     keys = in_batches(rows.where("doc_id is not null and text is not null"), _emit(unit_words), "digest long, doc_id long")
     first = keys.groupBy("digest").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").drop("last")
     later = keys.join(first, "digest").where("doc_id > first")
     by_doc = later.groupBy("doc_id").agg(F.collect_list("digest").alias("repeated"))  # at most its own units
-    return in_batches(rows.join(by_doc, "doc_id", "left"), _clean(unit_words, run_words), "doc_id long, n_units long, n_removed long, removed string, kept string, text string")
+    return in_batches(rows.join(by_doc, "doc_id", "left"), _clean(unit_words, run_words), "doc_id long, n_units long, n_removed long, n_passage_removed long, removed string, kept string, text string")
