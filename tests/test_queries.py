@@ -53,6 +53,14 @@ def test_bloom_probes_every_run(spark, tmp_path):
     assert len(true) == 20 and got.keys() == true.keys() and all(got[k] >= n for k, n in true.items())
 
 
+def test_lower_bound_of_runs_that_end_alike(spark):
+    from tidelog.operators.runs import lower_bound
+
+    rows = [(1, 93, "c", "e"), (1, 53, "b", "e"), (1, 13, "b", "e"), (1, 5, "a", "b"), (1, 1, "f", "g")]
+    for given in (rows, rows[::-1]):
+        assert lower_bound(spark.createDataFrame(given, "level int, run long, smallest string, largest string").coalesce(1), "d").collect() == [(1, 13, "b", "e")]
+
+
 def test_merge_covers_the_whole_log(spark):
     from tidelog.schema import events_log
 
