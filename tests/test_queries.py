@@ -53,6 +53,19 @@ def test_bloom_probes_every_run(spark, tmp_path):
     assert len(true) == 20 and got.keys() == true.keys() and all(got[k] >= n for k, n in true.items())
 
 
+def test_bloom_filters_meet_keys_in_blocks(spark, monkeypatch):
+    from tidelog.functions import codec
+    from tidelog.operators import runs
+
+    assert "forall" not in queries()["bloom_candidates"](spark, SF)._jdf.queryExecution().optimizedPlan().toString()  # no probe by pairs
+    monkeypatch.setattr(runs, "KEYS", 100)
+    monkeypatch.setattr(runs, "RUNS", 3)
+    keys = [b"%04d" % k for k in range(500)]
+    held = [(r, *(lambda m: (m[0], m[-1], codec.bloom_build(m)))([b"%04d" % k for k in range(r * 20, r * 20 + 1 + r * 10, 1 + r % 3)])) for r in range(12)]
+    got = runs.filtered(spark.createDataFrame([(bytearray(k),) for k in keys], "user_key binary"), spark.createDataFrame([(r, *map(bytearray, x)) for r, *x in held], "run long, smallest binary, largest binary, filter binary"), 500, 12)
+    assert {r.run: r.candidates for r in got.collect()} == {r: sum(a <= k <= b and codec.bloom_probe(k, f) for k in keys) for r, a, b, f in held}
+
+
 def test_lower_bound_of_runs_that_end_alike(spark):
     from tidelog.operators.runs import lower_bound
 
