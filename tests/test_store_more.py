@@ -5,6 +5,7 @@ import random
 import struct
 
 import pytest
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from tidelog.errors import Corruption, InvalidArgument, NotFound
@@ -12,7 +13,7 @@ from tidelog.functions import codec
 from tidelog.operators import compaction, ordered, visibility
 from tidelog.operators.batches import MutationBatch
 from tidelog.options import REVERSE, Options
-from tidelog.sources.datasource import VersionEdit, fold_edits, register, whole_edit
+from tidelog.sources.datasource import VersionEdit, _ManifestWriter, fold_edits, register, whole_edit
 from tidelog.sources.tablefile import FilterPolicy, Table, read_block, read_block_backward, read_block_from, write_table
 from tidelog.sources.walfile import read_records, write_records
 from tidelog.store import open_store
@@ -250,6 +251,15 @@ def test_manifest_sink(spark, tmp_path):
     assert fold_edits(db.manifest_edits())["last_sequence"] == 1
 
 
+def test_manifests_grow_with_their_edits():
+    """Many small rotations: the files together stay within a few times the edits, and the last says all."""
+    edits = [VersionEdit().set(comparator="bytewise", log_number=1, next_file=k + 1, last_sequence=k).add(k % 3, k, 5, b"a%08d" % k, b"b%08d" % k).build() for k in range(3000)]
+    rows = [Row(edit_no=n, prev_log_number=None, **e) for n, e in enumerate(edits)]
+    files = [b"".join(f) for f in _ManifestWriter({"path": "", "manifest_size": 200}, False).files(rows)]
+    assert 5 < len(files) < 30 and sum(map(len, files)) < 5 * sum(len(codec.encode_edit(e)) for e in edits)
+    assert fold_edits([codec.decode_edit(r) for r, _ in read_records(files[-1], True)]) == fold_edits(edits)
+
+
 def test_key_orders(spark, tmp_path):
     db = open_store(spark, str(tmp_path / "db"), Options(comparator=REVERSE))
     keys = [b"", b"a", b"a\x00", b"ab", b"b", b"\xff", b"\xff\xff"]

@@ -256,7 +256,7 @@ def _(s, d):
     added = F.array(F.struct((F.col("run") % 3).cast("int").alias("level"), (F.col("run") + 1).alias("run"), F.col("entries").alias("size"), F.col("smallest").cast("binary").alias("smallest"), F.col("largest").cast("binary").alias("largest")))
     number = F.lit(None).cast("long")
     edits = m.select(F.lit(0).cast("long").alias("file"), F.col("run").alias("edit_no"), F.lit("bytewise").alias("comparator"), F.lit(1).cast("long").alias("log_number"), number.alias("prev_log_number"), (F.col("run") + 2).alias("next_file"), F.col("max_seq").alias("last_sequence"), F.expr("cast(array() as array<struct<level: int, run: long>>)").alias("deleted"), added.alias("added"), F.expr("cast(array() as array<struct<level: int, key: binary>>)").alias("pointers"))
-    edits.coalesce(1).write.format("kvlog_manifest").options(path=path, manifest_size=200).mode("append").save()
+    edits.repartition(1).write.format("kvlog_manifest").options(path=path, manifest_size=200).mode("append").save()
     back = s.read.format("kvlog_manifest").load(path)
     newest = back.where(F.col("file") == back.agg(F.max("file")).first()[0])
     return newest.select(F.explode("added").alias("a")).select("a.run", "a.level", "a.size", F.col("a.smallest").cast("string").alias("smallest"), F.col("a.largest").cast("string").alias("largest"))

@@ -187,8 +187,9 @@ class _Writer(DataSourceWriter):
 
 
 class _ManifestWriter(_Writer):
-    """A manifest from the edits of each task in the order of edit_no, a new one where it outgrows ``manifest_size``; each later file starts with
-    the fold of what came before, so it stands alone. CURRENT names the last."""
+    """A manifest from the edits of each task in the order of edit_no, a new one where it outgrows ``manifest_size`` and twice what it started with;
+    each later file starts with the fold of what came before, so it stands alone. A fold is paid for by as many bytes of edits, so what is written
+    grows with the edits and not with their square. CURRENT names the last."""
 
     def __init__(self, options: dict, overwrite: bool) -> None:
         super().__init__(options, "MANIFEST-", overwrite)
@@ -198,17 +199,18 @@ class _ManifestWriter(_Writer):
 
     def files(self, rows):
         limit, found = int(self.options.get("manifest_size", 64 << 20)), sorted(rows, key=lambda r: r.edit_no)
-        held, size, before = [], 0, []
+        held, size, least, state = [], 0, 0, _state()
         for r in found:
             edit = {c: r[c] for c in ("comparator", "log_number", "prev_log_number", "next_file", "last_sequence")}
             edit |= {"deleted": [tuple(x) for x in r.deleted or ()], "added": [(x[0], x[1], x[2], bytes(x[3]), bytes(x[4])) for x in r.added or ()], "pointers": [(x[0], bytes(x[1])) for x in r.pointers or ()]}
             raw = codec.encode_edit(edit)
-            if held and size + len(raw) > limit:
+            if held and size + len(raw) > max(limit, least):
                 yield framed(held)
-                held = [codec.encode_edit(whole_edit(before))]
+                held = [codec.encode_edit(_whole(state))]
                 size = len(held[0])
+                least = 2 * size
             held.append(raw)
-            before.append(edit)
+            _apply(state, edit)
             size += len(raw)
         if held:
             yield framed(held)
@@ -274,22 +276,33 @@ def register(spark) -> None:
         spark.dataSource.register(source)
 
 
+def _state() -> dict:
+    return {"runs": {}, "pointers": {}, "prev_log_number": 0}
+
+
+def _apply(state: dict, e: dict) -> None:
+    state |= {k: v for k, v in e.items() if k in ("comparator", "log_number", "prev_log_number", "next_file", "last_sequence") and v is not None}
+    state["pointers"] |= dict(e.get("pointers", ()))
+    for level, number in e.get("deleted", ()):
+        state["runs"].pop((level, number), None)
+    for level, number, size, smallest, largest in e.get("added", ()):
+        state["runs"][level, number] = (size, smallest, largest)
+
+
 def _fold(edits: list[dict]) -> dict:
-    state: dict = {"runs": {}, "pointers": {}, "prev_log_number": 0}
+    state = _state()
     for e in edits:
-        state |= {k: v for k, v in e.items() if k in ("comparator", "log_number", "prev_log_number", "next_file", "last_sequence") and v is not None}
-        state["pointers"] |= dict(e.get("pointers", ()))
-        for level, number in e.get("deleted", ()):
-            state["runs"].pop((level, number), None)
-        for level, number, size, smallest, largest in e.get("added", ()):
-            state["runs"][level, number] = (size, smallest, largest)
+        _apply(state, e)
     return state
 
 
+def _whole(state: dict) -> dict:
+    return {k: v for k, v in state.items() if k not in ("runs", "pointers")} | {"pointers": sorted(state["pointers"].items()), "deleted": [], "added": [(*k, *v) for k, v in sorted(state["runs"].items())]}
+
+
 def whole_edit(edits: list[dict]) -> dict:
     """One edit that says what all of ``edits`` say."""
-    state = _fold(edits)
-    return {k: v for k, v in state.items() if k not in ("runs", "pointers")} | {"pointers": sorted(state["pointers"].items()), "deleted": [], "added": [(*k, *v) for k, v in sorted(state["runs"].items())]}
+    return _whole(_fold(edits))
 
 
 def fold_edits(edits: list[dict]) -> dict:
