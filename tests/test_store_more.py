@@ -251,6 +251,27 @@ def test_manifest_sink(spark, tmp_path):
     assert fold_edits(db.manifest_edits())["last_sequence"] == 1
 
 
+def test_small_tables_share_partitions(spark, tmp_path):
+    """Tasks don't grow with the number of small files, and writers do with the rows."""
+    register(spark)
+    rows = spark.range(6000).selectExpr("cast(lpad(id, 8, '0') as binary) as user_key", "id as seq", "cast(id % 2 as byte) as kind", "if(id % 2 = 1, cast(cast(id as string) as binary), null) as value")
+    for source in ("kvlog_table", "kvlog_wal"):
+        rows.repartitionByRange(2, "user_key").write.format(source).options(path=str(tmp_path / source), file_size=500).mode("append").save()
+        back = spark.read.format(source).load(str(tmp_path / source))
+        assert len(list((tmp_path / source).iterdir())) > 200 and 16 < back.rdd.getNumPartitions() < 70
+        assert not back.drop("file").exceptAll(rows).count() and back.count() == 6000
+
+
+def test_long_checksums():
+    for n in (255, 256, 300, 4096, 4097, 4099, 4100, 9001):
+        data = random.Random(n).randbytes(n)
+        parts = 0
+        for k in range(0, n, 100):
+            parts = codec.crc32c(data[k : k + 100], parts)
+        assert codec.crc32c(data) == parts
+        assert codec.crc32c(data[200:], codec.crc32c(data[:200])) == parts
+
+
 def test_manifests_grow_with_their_edits():
     """Many small rotations: the files together stay within a few times the edits, and the last says all."""
     edits = [VersionEdit().set(comparator="bytewise", log_number=1, next_file=k + 1, last_sequence=k).add(k % 3, k, 5, b"a%08d" % k, b"b%08d" % k).build() for k in range(3000)]

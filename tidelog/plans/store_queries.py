@@ -206,7 +206,7 @@ def _written(s: SparkSession, d: str, source: str, **options) -> str:
     register(s)
     path = scratch(s, source).removeprefix("file://")
     rows = _mutations(s, d).withColumn("seq", F.col("seq") + 1).withColumn("value", F.when(F.col("kind") == 1, F.col("value")))
-    rows.repartitionByRange(4, "user_key").sortWithinPartitions(*merge.internal_order()).write.format(source).options(path=path, **options).mode("append").save()
+    rows.repartitionByRange(*merge.internal_order()).sortWithinPartitions(*merge.internal_order()).write.format(source).options(path=path, **options).mode("append").save()
     return path
 
 

@@ -1,7 +1,8 @@
 """Spark data sources over the file formats: kvlog_wal, kvlog_table, kvlog_manifest.
 
-Files are read through pyarrow's filesystems, so a path may be local or any URI they know. A log or manifest is one partition; a
-table is one for every ``split`` bytes (64 MB), and only its index and the blocks asked for are read. Options:
+Files are read through pyarrow's filesystems, so a path may be local or any URI they know. A log or manifest is read by one partition, a
+table by one for every ``split`` bytes (64 MB), of which only its index and the blocks asked for; many small files share partitions, each up to
+a 32nd of all bytes and 2 MB. Options:
 
 * mode: FAILFAST (default) or PERMISSIVE, which skips what is damaged;
 * from, to, key (tables; hex): user keys in [from, to], or one key, by the index and the filters; as_of: sequences up to it;
@@ -52,6 +53,14 @@ class _File(InputPartition):
         self.name, self.blocks = name, blocks
 
 
+class _Files(InputPartition):
+    def __init__(self, files: list[_File]) -> None:
+        self.files = files
+
+
+TOGETHER = 2 << 20  # bytes of small files that a partition reads
+
+
 def number_of(name: str) -> int:
     found = re.search(r"(\d+)", posixpath.basename(name))
     return int(found[1]) if found else 0
@@ -65,12 +74,27 @@ class _Reader(DataSourceReader):
 
     def partitions(self) -> list[InputPartition]:
         least = int(self.options.get("from_number", 0))
-        return [_File(f) for f in files_of(self.path, self.pattern) if number_of(f) >= least]
+        names = [f for f in files_of(self.path, self.pattern) if number_of(f) >= least]
+        sizes = [info.size for info in filesystem(self.path)[0].get_file_info(names)]
+        out, room, most = [], 0, min(TOGETHER, sum(sizes) // 32)
+        for name, whole in zip(names, sizes, strict=True):
+            for part, size in self.parts(name, whole):
+                if size > room:
+                    out.append(_Files([]))
+                    room = most
+                out[-1].files.append(part)
+                room -= size
+        return out
 
-    def read(self, partition: _File):
+    def parts(self, name: str, size: int) -> list[tuple[_File, int]]:
+        """What is read of a file on its own, with its bytes."""
+        return [(_File(name), size)]
+
+    def read(self, partition: _Files):
         system, _ = filesystem(self.path)
-        with system.open_input_file(partition.name) as f:
-            yield from self.rows(f, partition)
+        for part in partition.files:
+            with system.open_input_file(part.name) as f:
+                yield from self.rows(f, part)
 
 
 class _WalReader(_Reader):
@@ -87,19 +111,14 @@ class _WalReader(_Reader):
 class _TableReader(_Reader):
     pattern = r"\.(ldb|sst)$"
 
-    def partitions(self) -> list[InputPartition]:
-        system, _ = filesystem(self.path)
-        split, out = int(self.options.get("split", 64 << 20)), []
-        for p in super().partitions():
-            size = system.get_file_info(p.name).size
-            if size <= split:
-                out.append(p)
-                continue
-            with system.open_input_file(p.name) as f:
-                blocks = len(Table(f).index)
-            step = max(1, blocks * split // size)
-            out += [_File(p.name, (k, k + step)) for k in range(0, blocks, step)]
-        return out
+    def parts(self, name: str, size: int) -> list[tuple[_File, int]]:
+        split = int(self.options.get("split", 64 << 20))
+        if size <= split:
+            return super().parts(name, size)
+        with filesystem(self.path)[0].open_input_file(name) as f:
+            blocks = len(Table(f).index)
+        step = max(1, blocks * split // size)
+        return [(_File(name, (k, k + step)), TOGETHER) for k in range(0, blocks, step)]
 
     def rows(self, f, partition: _File):
         key, low, high = (bytes.fromhex(self.options[o]) if o in self.options else None for o in ("key", "from", "to"))
